@@ -118,11 +118,11 @@ def shard_links(fps: np.ndarray, home: np.ndarray, quarter: int, leaf: int, leve
     values = ((bits >> np.uint64(QUARTER_BITS * quarter)) & np.uint64(0xFFFF)).astype(np.uint16)
     start = np.full(len(fps), leaf)
     at_home = np.flatnonzero(home)
-    _, own = route(values[at_home], start[at_home], depth - level, 0, points, radii)
+    k, own = route(values[at_home], start[at_home], depth - level, 0, points, radii)
     who, asked = route(values, start, depth - level, radius // QUARTERS, points, radii)
     # Leaf by leaf; in each those at home against those asked.
     h = np.argsort(own, kind="stable")
-    own, at_home = own[h], at_home[h]
+    own, at_home = own[h], at_home[k[h]]
     q = np.argsort(asked, kind="stable")
     asked, who = asked[q], who[q]
     parent = np.arange(len(fps))
