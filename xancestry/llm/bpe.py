@@ -16,13 +16,14 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Memo, exact, shipped
 
-#: Pieces that a worker remembers, and pieces encoded at once of a huge text.
-MEMO_PIECES, BLOCK_PIECES, HUGE_CHARS = 800_000, 200_000, 1 << 20
+#: Pieces that a worker remembers, pieces encoded at once of a huge text, characters that make it one, and rows of a result batch.
+MEMO_PIECES, BLOCK_PIECES, HUGE_CHARS, ROWS = 500_000, 200_000, 1 << 20, 256
 
 #: Texts of these characters alone are split alike by the standard library's re with FAST, which is quicker.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\u00a0-\\u00a9\\u00ab-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f\\u2010-\\u2027\\u2030-\\u203e\\u20ac]*")
@@ -156,14 +157,16 @@ class ByteBPE:
         """The same from the ids of pieces; what a piece's ids decode to is remembered."""
         return b"".join(map(self.decoded.__getitem__, pieces))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens; SHA-256 of the ids joined by commas, and of the bytes decoded from them."""
+    def digest(self, text: str, ids: list[np.ndarray] | None = None) -> tuple[int, str, str]:
+        """Number of tokens; SHA-256 of the ids joined by commas, and of the bytes decoded from them. Appends the ids, by blocks, to a list if given."""
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         for pieces in self.encode_pieces(text):
             block = ",".join(pieces)
             of_ids.update((("," if n else "") + block).encode())
             of_bytes.update(self.decode_pieces(pieces))
             n += block.count(",") + 1
+            if ids is not None:
+                ids.append(np.array(block.split(","), np.int32))
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
@@ -194,15 +197,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         codec = _codec(vocabulary, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [codec.digest(x or "") for x in texts]
-            cols = [batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array([[int(k) for block in codec.encode(x or "") for k in block.split(",")] for x in texts], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                ids: list[np.ndarray] | None = [] if with_ids else None
+                found = [codec.digest(x or "", ids) for x in batch.column(1).to_pylist()]
+                cols = [batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids is not None:
+                    ends = np.cumsum([0, *(x[0] for x in found)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     quoted = "`" + id_col.replace("`", "``") + "`"
     return source.mapInArrow(run, f"{quoted} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
