@@ -93,7 +93,8 @@ def run_filters(df: DataFrame, required: dict[str, tuple[Filter, str]], optional
         cols[f"drop_{i}"] = c
     flagged = df.withColumns(cols) if cols else df
     flagged = flagged.withColumn("drop_any", F.greatest(F.lit(False), F.lit(False), *map(F.col, cols)))
-    return Checked(flagged.where(~F.col("drop_any")).select(*df.columns), flagged, flags)
+    # The rows that pass come straight from df: without the flags' names, plans of many populations stay small.
+    return Checked(df.where(~F.greatest(F.lit(False), F.lit(False), *cols.values())), flagged, flags)
 
 
 def first_of_each(df: DataFrame, order: str = "place") -> tuple[DataFrame, DataFrame]:

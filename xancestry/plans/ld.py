@@ -14,7 +14,7 @@ from ..operators import ldscore
 
 def window(snps: float | None = None, kb: float | None = None, cm: float | None = None) -> tuple[float, str]:
     """(distance, column); exactly one unit has to be given. None stands for the place in the file."""
-    given = [(float(snps), "idx")] * (snps is not None) + [(kb * 1000.0 if kb is not None else 0, "BP")] * (kb is not None) + [(cm, "CM")] * (cm is not None)
+    given = [(float(x) * times, c) for x, times, c in ((snps, 1, "idx"), (kb, 1000, "BP"), (cm, 1, "CM")) if x is not None]
     if len(given) != 1:
         raise ValueError("exactly one of snps, kb and cm is needed")
     return given[0]

@@ -6,13 +6,13 @@ import logging
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import effective_n, log10_p, p_text, unit_scale, z_score
 from ..operators import columns, gls, harmonise, quality, regression
 from ..sources import text
+from .planning import kept
 
 log = logging.getLogger(__name__)
 
@@ -87,7 +87,7 @@ def run(
     checks = {pop: ingest(spark, src, patterns, (column_maps or {}).get(pop), filters, None, sep) for pop, src in sumstats.items()}
     h, _ = harmonise.harmonise([c.passed for c in checks.values()], ld, keep)
     # Read twice, by the regressions and by the estimator; partitions that are lost are made again.
-    h = h.persist(StorageLevel.MEMORY_AND_DISK)
+    h = kept(h)
     c = harmonise.collate(h, anc)
     if standardised_units:
         scale = lambda x: F.array(*(in_units(F.col(x)[i], F.col(f"p{i}.FREQ")) for i in range(n)))

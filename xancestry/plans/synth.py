@@ -5,11 +5,12 @@ Sums are of integers, so they don't hang on the order of rows.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 POPS = 5
+_KEPT: dict[tuple[str, str], DataFrame] = {}
 _BASE = "substr('ACGT', CAST({} AS INT), 1)"
 
 #: One row a variant and population (column pop), in the dialect that Spark and DuckDB share. {ss} is what the queries call it.
@@ -64,7 +65,12 @@ def _sql(spark: SparkSession, sf_dir: str, ctes: str, last: str) -> DataFrame:
 
 def sumstats(spark: SparkSession, sf_dir: str, pop: int | None = None) -> DataFrame:
     """All populations with column pop, or one as a source with columns under other names."""
-    d = _sql(spark, sf_dir, SUMSTATS_SQL, "ss").withColumnRenamed("ord", "place").drop("k")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        # Every population is taken from this table, so the joins behind it run once; lost partitions are made again.
+        _KEPT.clear()
+        _KEPT[key] = _sql(spark, sf_dir, SUMSTATS_SQL, "ss").withColumnRenamed("ord", "place").drop("k").persist(StorageLevel.MEMORY_AND_DISK)
+    d = _KEPT[key]
     return d if pop is None else d.where(F.col("pop") == pop).drop("pop")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import expressions as X
 from .operators import columns, gls, harmonise, ldscore, quality, regression
 from .plans import ld, meta, synth
+from .plans.planning import kept
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,8 +179,9 @@ def _pops(spark, sf, n):
 
 
 def _harmonised(spark, sf, n):
+    """Kept, as in the whole analysis: what comes after it is planned on its rows and not on how they were made."""
     pops, scores = _pops(spark, sf, n)
-    return harmonise.harmonise(pops, scores)[0]
+    return kept(harmonise.harmonise(pops, scores)[0])
 
 
 @query(f"{LD}, {QC} SELECT lower(q0.SNP) AS SNP, {_match(1)} AS match, {_swap(1)} AS swap FROM q q0 JOIN q q1 ON q0.SNP = q1.SNP AND q1.pop = 1 WHERE q0.pop = 0")

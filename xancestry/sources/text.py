@@ -54,7 +54,9 @@ def header(spark: SparkSession, path: str, sep: str | None = None) -> list[str]:
     first = lines(spark, path).select("value").head(1)
     if not first:
         raise SourceError(f"{path} has no header")
-    return re.split(sep if sep in (r"\s+",) else re.escape(sep) if sep else sniff(first[0]["value"]) if sniff(first[0]["value"]) == r"\s+" else re.escape(sniff(first[0]["value"])), first[0]["value"].strip())
+    line = first[0]["value"].strip()
+    sep = sep or sniff(line)
+    return re.split(sep if sep == r"\s+" else re.escape(sep), line)
 
 
 def nullify(c):
@@ -70,7 +72,8 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     sep = sep or sniff(top[0]["value"])
     cut = sep if sep == r"\s+" else re.escape(sep)
     names = re.split(cut, top[0]["value"].strip(" \r\n") if sep != r"\s+" else top[0]["value"].strip())
-    body = lines(spark, path).where(F.col("place") != F.lit(top[0]["place"]))
+    at = top[0]["place"]
+    body = lines(spark, path).where((F.col("place.f") != at["f"]) | (F.col("place.b") != at["b"]) | (F.col("place.i") != at["i"]))
     value = F.trim("value") if sep == r"\s+" else F.regexp_replace("value", "\r$", "")
     parts = F.split(value, cut)
     return body.select(*(nullify(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)), "place")
