@@ -73,7 +73,9 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     cut = sep if sep == r"\s+" else re.escape(sep)
     names = re.split(cut, top[0]["value"].strip(" \r\n") if sep != r"\s+" else top[0]["value"].strip())
     at = top[0]["place"]
-    body = lines(spark, path).where((F.col("place.f") != at["f"]) | (F.col("place.b") != at["b"]) | (F.col("place.i") != at["i"]))
+    is_body = (F.col("place.f") != at["f"]) | (F.col("place.b") != at["b"]) | (F.col("place.i") != at["i"])
+    # The header's text is nulled besides, as strict casts may be moved before the filter.
+    body = lines(spark, path).where(is_body).withColumn("value", F.when(is_body, F.col("value")))
     value = F.trim("value") if sep == r"\s+" else F.regexp_replace("value", "\r$", "")
     parts = F.split(value, cut)
     return body.select(*(nullify(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)), "place")
