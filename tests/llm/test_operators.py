@@ -463,6 +463,33 @@ def test_text_scores(docs, odd, none, chunk, monkeypatch):
     assert lattice_lm.score(none, path).count() == 0
 
 
+def test_text_scores_draw_from_an_urn(docs, odd):
+    """Word by word: the lattice's share and what the text has drawn so far, over all drawn so far."""
+    path = P.path(queries.PIECE_FILE)
+    names, ranks = lattice_lm.vocabulary(open(path, "rb").read())
+    p = lattice_lm.Pieces(names)
+    lattice = lattice_lm.Lattice(p, lattice_lm.first_scores(p, names, ranks), np.full(256, np.log(1e-6)))
+    for d in (odd, docs):
+        rows = [(r["doc_id"], lattice_lm.tokens(r["text"])) for r in d.collect() if r["doc_id"] is not None]
+        c, ends = Counter(), 0
+        for k, t in rows:
+            if zlib.crc32(str(k).encode()) % 5 != 1:
+                c.update(t)
+                ends += 1
+        n = sum(c.values()) + ends
+        spelled = (sum(x == 1 for x in c.values()) + 0.5) / (n + 1)
+        got = {r["doc_id"]: r["score"] for r in lattice_lm.score(d, path, rounds=0, concentration=50.0).collect()}
+        for k, t in rows[:60]:
+            drawn, want = Counter(), 0.0
+            each = dict(zip(set(t), lattice.words([w.decode() for w in set(t)]))) if t else {}
+            for i, w in enumerate([*t, None]):
+                share = (1 - spelled) * (ends if w is None else c[w]) / n
+                known = math.log(50 * share + drawn[w]) if share or drawn[w] else -math.inf
+                want += np.logaddexp(known, math.log(50 * spelled) + each[w] if w is not None else -math.inf) - math.log(50 + i)
+                drawn[w] += 1
+            assert math.isclose(got[k], want / math.log(10), rel_tol=1e-9)
+
+
 # 10
 
 
