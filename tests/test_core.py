@@ -160,7 +160,7 @@ def test_p_values(spark):
     assert got[6].endswith("e-784") and abs(float(got[4].split("e")[0]) / float(got[5].split("e")[0]) - 1) < 1e-3
 
 
-def brute_scores(g, a, b, pairs, per_allele, n_of):
+def brute_scores(g, a, b, pairs, per_allele, n_of, exponent=0.0, within=None):
     m = len(g)
     people = a | b
     mean = np.nanmean(g[:, people], 1, keepdims=True)
@@ -170,12 +170,14 @@ def brute_scores(g, a, b, pairs, per_allele, n_of):
     stat = [[(g[i][x] - g[i][x].mean()) / g[i][x].std() for i in range(m)] for x in (a, b)]
     v = [[2 * f * (1 - f) for f in (g[i][x].mean() / 2 for i in range(m))] for x in (a, b)]
     for i, k in [*pairs, *((i, i) for i in range(m))]:
-        r = [np.mean(s[i] * s[k]) for s in stat]
-        x = r[0] ** 2 - (1 - r[0] ** 2) / (a.sum() - 2) if same else r[0] * r[1]
+        def product(other):
+            r = [np.mean(s[i] * s[k]) * (1 if within and within(i, k) else g[other][x].std() ** exponent) for s, x in zip(stat, (a, b))]  # noqa: B023
+            return r[0] ** 2 - (1 - r[0] ** 2) / (a.sum() - 2) if same else r[0] * r[1]
+
         ratio = lambda t, o: np.sqrt(v[0][t] * v[1][t] / (v[0][o] * v[1][o])) if per_allele else 1  # noqa: B023, E731
-        out[i] += x * ratio(i, k)
+        out[i] += product(k) * ratio(i, k)
         if i != k:
-            out[k] += x * (ratio(i, k) if n_of(i, k) else ratio(k, i))
+            out[k] += product(k if n_of(i, k) else i) * (ratio(i, k) if n_of(i, k) else ratio(k, i))
     return out
 
 
@@ -197,6 +199,9 @@ def test_ld_scores(spark, chunk, reach, per_allele):
     for x, y in ((a, b), (a, a)):
         got = {r["idx"]: r["l2"] for r in ldscore.pair_scores(geno, x, y, lefts, chunk, per_allele).collect()}
         assert np.allclose([got[i] for i in range(30)], brute_scores(g, x, y, pairs, per_allele, left_of_chunk), atol=1e-8)
+        got = {r["idx"]: r["l2"] for r in ldscore.pair_scores(geno, x, y, lefts, chunk, per_allele, exponent=0.5).collect()}
+        within = lambda i, k: k >= w.first and i >= k // w.chunk * w.chunk
+        assert np.allclose([got[i] for i in range(30)], brute_scores(g, x, y, pairs, per_allele, left_of_chunk, 0.5, within), atol=1e-8)
 
 
 def test_windows_by_hand():
@@ -209,6 +214,19 @@ def test_windows_by_hand():
     assert ld.window(kb=2) == (2000.0, "BP")
 
 
+def test_block_sizes_are_columns(spark):
+    g = [[0, 1, 2, 1, 0, 1], [2, 1, 0, 1, 1, 2], [1, 0, 1, 2, 2, 0]]
+    variants = spark.createDataFrame([(i, "22", f"rs{i}", 0.0, 100 * i) for i in range(3)], "snp_idx long, CHR string, SNP string, CM double, BP long")
+    people = spark.createDataFrame([(i, "AB"[i // 3]) for i in range(6)], "ind_idx long, ancestry string")
+    geno = spark.createDataFrame(list(enumerate(g)), "snp_idx long, dosage array<int>")
+    sources = spark.createDataFrame([(f"rs{i}", 1, int(i < 2)) for i in range(3)], "SNP string, A int, B int")
+    got, _ = ld.estimate(spark, variants, people, geno, sources, (150.0, "BP"), sizes=True)
+    assert got.columns == ["snp_idx", "CHR", "SNP", "BP", "A_B", "A_A", "B_B", "A_B_ldBlockSize", "A_A_ldBlockSize", "B_B_ldBlockSize"]
+    rows = got.orderBy("snp_idx").collect()
+    assert [r["A_A_ldBlockSize"] for r in rows] == [2, 3, 2] and [r["A_B_ldBlockSize"] for r in rows] == [2, 2, None]
+    assert ld.restrict(got, cross_only=True).count() == sum(r["A_B"] is not None for r in rows)
+
+
 def test_genotype_files(spark, tmp_path):
     g = np.array([[0, 1, 2, -1, 2], [2, 2, 1, 0, 0], [1, 1, 1, 1, 1]])
     code = {0: 0, -1: 1, 1: 2, 2: 3}

@@ -78,6 +78,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--print-snps", metavar="FILE")
     s.add_argument("--print-cross-only", action="store_true")
     s.add_argument("--chunk-size", type=int, default=50)
+    s.add_argument("--pq-exp", type=float, default=0.0)
     s.add_argument("--maf", type=float, default=0.0)
     s.add_argument("--ldBlockSize", action="store_true")
     return top
@@ -138,7 +139,7 @@ def run_ld(spark: SparkSession, a: argparse.Namespace, log) -> None:
         geno = geno.select("snp_idx", F.transform(kept, lambda i: F.get("dosage", i.cast("int"))).alias("dosage"))
     sources = text.scan(spark, a.snp_ances, r"\s+").drop("place")
     reach = ld.window(a.ld_wind_snps, a.ld_wind_kb, a.ld_wind_cm)
-    scores, counts = ld.estimate(spark, variants, people, geno, sources, reach, a.chunk_size, a.maf, not a.std_geno_ldsc, not a.no_single_correct, a.symmetric)
+    scores, counts = ld.estimate(spark, variants, people, geno, sources, reach, a.chunk_size, a.maf, not a.std_geno_ldsc, not a.no_single_correct, a.symmetric, a.pq_exp, a.ldBlockSize)
     scores = ld.restrict(scores, text.ids(spark, a.print_snps) if a.print_snps else None, a.print_cross_only)
     sinks.write_ldscores(scores, a.out)
     sinks.write_counts(counts, a.out)

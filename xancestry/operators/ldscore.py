@@ -79,7 +79,7 @@ def maf_ok(g: np.ndarray, least: float = 0.0) -> np.ndarray:
 
 
 def _prepare(g: np.ndarray, masks: list[np.ndarray]):
-    """Missing to the mean of all given people; by ancestry: standardised dosages and 2 f (1 - f)."""
+    """Missing to the mean of all given people; by ancestry: standardised dosages, 2 f (1 - f) and standard deviations."""
     mean = np.nanmean(g, 1, keepdims=True)
     g = np.where(np.isnan(g), mean, g)
     out = []
@@ -88,17 +88,19 @@ def _prepare(g: np.ndarray, masks: list[np.ndarray]):
         f = own.mean(1) / 2
         sd = own.std(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(((own - own.mean(1, keepdims=True)) / sd, 2 * f * (1 - f)))
+            out.append(((own - own.mean(1, keepdims=True)) / sd, 2 * f * (1 - f), sd[:, 0]))
     return out
 
 
-def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False) -> DataFrame:
+def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0) -> DataFrame:
     """(idx, l2) of one pair of ancestries (or one with itself).
 
     geno: idx (0 to m - 1 in order) and dosage of all people; anc1, anc2: masks of people. Products of correlations are
     summed over the windows; within an ancestry the square is freed of its bias unless correct is off. per_allele scales by
     the ratio of the variants' variances; as a known property of this score, a variant right of a chunk takes the ratio of its left
-    neighbour's, unless symmetric. Undefined products count as nothing.
+    neighbour's, unless symmetric. With an exponent each correlation counts times the other variant's variance to half that power; again
+    unless symmetric, a variant right of a chunk takes its own variance for that of its left neighbour, and pairs within a chunk beyond the first
+    block aren't scaled. Undefined products count as nothing.
     """
     win = Windows.of(lefts, chunk)
     people = anc1 | anc2
@@ -111,9 +113,9 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.n
     right = blocks.select(F.col("chunk").alias("k"), F.col("v").alias("vk"))
     met = pairs.join(left, "i").join(right, "k")
 
-    def products(a, b):
-        with np.errstate(invalid="ignore"):
-            r = [x[0] @ y[0].T / x[0].shape[1] for x, y in zip(a, b)]
+    def products(a, b, scaled=True):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = [x[0] @ y[0].T / x[0].shape[1] * (y[2] ** exponent if exponent and scaled else 1) for x, y in zip(a, b)]
         if not same:
             return r[0] * r[1]
         n = masks[0].sum()
@@ -126,7 +128,8 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.n
                 read = lambda v: (np.array([x["idx"] for x in v]), np.array([[np.nan if y is None else y for y in x["dosage"]] for x in v], float)[:, people])
                 (ni, gi), (nk, gk) = read(vi), read(vk)
                 a, b = _prepare(gi, masks), _prepare(gk, masks)
-                x = products(a, b)
+                both_ways = symmetric or k * win.chunk < win.first
+                x = products(a, b, i != k or both_ways)
                 if per_allele:
                     with np.errstate(invalid="ignore", divide="ignore"):
                         scale = np.sqrt((a[0][1] * a[1][1])[:, None] / (b[0][1] * b[1][1])[None, :])
@@ -137,8 +140,9 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.n
                     continue
                 yield pd.DataFrame({"idx": ni, "l2": np.nansum(x * scale, 1)})
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    back = scale if per_allele and not symmetric and k * win.chunk >= win.first else 1 / scale
-                yield pd.DataFrame({"idx": nk, "l2": np.nansum(x * back, 0)})
+                    back = 1 / scale if both_ways or not per_allele else scale
+                mirrored = products(b, a).T if exponent and both_ways else x
+                yield pd.DataFrame({"idx": nk, "l2": np.nansum(mirrored * back, 0)})
 
     # Sums in decimals don't hang on the order in which tasks end.
     return met.mapInPandas(run, "idx long, l2 double").groupBy("idx").agg(F.sum(F.col("l2").cast("decimal(38,12)")).cast("double").alias("l2"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ldscore
 
+SIZES = "_ldBlockSize"
+
 
 def window(snps: float | None = None, kb: float | None = None, cm: float | None = None) -> tuple[float, str]:
     """(distance, column); exactly one unit has to be given. None stands for the place in the file."""
@@ -27,12 +29,13 @@ def checked(people: DataFrame, ancestries: DataFrame) -> DataFrame:
     return people.join(ancestries, "IID")
 
 
-def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno: DataFrame, sources: DataFrame, reach: tuple[float, str], chunk: int = 50, maf: float = 0.0, per_allele: bool = True, correct: bool = True, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
+def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno: DataFrame, sources: DataFrame, reach: tuple[float, str], chunk: int = 50, maf: float = 0.0, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0, sizes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scores, counts): CHR, SNP, BP and a column a pair of ancestries; and anc1, anc2, m, m_5_50.
 
     variants: snp_idx, CHR, SNP, CM, BP. people: ind_idx, ancestry. geno: snp_idx, dosage. sources: SNP and 0 or 1 by
     ancestry. Variants without a source are left out, as are those that fail the genotype filter over all people. Only
-    coordinates and counts of variants come to the driver, never genotypes. A zero score is written as null.
+    coordinates and counts of variants come to the driver, never genotypes. A zero score is written as null. With sizes, columns
+    named after a pair with SIZES tell how many of its variants are nearer than reach.
     """
     who = people.orderBy("ind_idx").collect()
     anc = sorted({r["ancestry"] for r in who})
@@ -43,19 +46,20 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
     combos = list(itertools.combinations_with_replacement(range(len(anc)), 2))
     frames, counts = [], []
     for at, (a, b) in enumerate(combos):
-        own = meta[(meta[f"has_{a}"] != 0) & (meta[f"has_{b}"] != 0) & [bool(x[at]) for x in meta["ok"]]]
+        own = meta[(meta[f"has_{a}"] != 0) & (meta[f"has_{b}"] != 0) & np.array([bool(x[at]) for x in meta["ok"]], bool)]
         counts.append((anc[a], anc[b], len(own), int(sum(bool(x[at]) for x in own["common"]))))
         name = f"{anc[a]}_{anc[b]}"
         if not len(own):
             continue
         coords = np.arange(len(own)) if reach[1] == "idx" else own[reach[1]].to_numpy()
         lefts = ldscore.block_lefts(coords, reach[0])
-        number = spark.createDataFrame(list(zip(own["snp_idx"].tolist(), range(len(own)))), "snp_idx long, idx long")
-        scored = ldscore.pair_scores(geno.join(number, "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], lefts, chunk, per_allele, correct, symmetric)
-        frames.append(scored.join(number, "idx").select("snp_idx", F.nullif("l2", F.lit(0.0)).alias(name)))
+        number = spark.createDataFrame(list(zip(own["snp_idx"].tolist(), range(len(own)), ldscore.block_sizes(coords, reach[0]).tolist())), "snp_idx long, idx long, size long")
+        scored = ldscore.pair_scores(geno.join(number, "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], lefts, chunk, per_allele, correct, symmetric, exponent)
+        frames.append(scored.join(number, "idx").select("snp_idx", F.nullif("l2", F.lit(0.0)).alias(name), *([F.col("size").cast("double").alias(name + SIZES)] if sizes else [])))
     base = spark.createDataFrame(meta[meta["ok_all"]][["snp_idx", "CHR", "SNP", "BP"]]) if meta["ok_all"].any() else known.select("snp_idx", "CHR", "SNP", "BP").limit(0)
     out = reduce(lambda x, y: x.join(y, "snp_idx", "left"), frames, base)
     order = [f"{anc[a]}_{anc[b]}" for a, b in combos if a != b] + [f"{x}_{x}" for x in anc]
+    order += [c + SIZES for c in order]
     return out.select("snp_idx", "CHR", "SNP", "BP", *(c for c in order if c in out.columns)), spark.createDataFrame(counts, "anc1 string, anc2 string, m long, m_5_50 long")
 
 
@@ -86,7 +90,7 @@ def restrict(scores: DataFrame, print_snps: DataFrame | None = None, cross_only:
     if print_snps is not None:
         scores = scores.join(print_snps, "SNP", "left_semi")
     if cross_only:
-        cross = [c for c in scores.columns if "_" in c and c != "snp_idx" and len(set(c.split("_", 1))) == 2]
+        cross = [c for c in scores.columns if "_" in c and not c.endswith(SIZES) and c != "snp_idx" and len(set(c.split("_", 1))) == 2]
         scores = scores.na.drop("all", subset=cross) if cross else scores
     return scores
 
