@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from xancestry.llm import bpe, chat, chroma, embed_dedup, langid, lattice_lm, mixing, pii, queries, simhash, tokencount
+from xancestry.llm import bpe, chat, chroma, embed_dedup, langid, lattice_lm, minhash, mixing, pii, queries, simhash, tokencount
 from xancestry.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -329,6 +329,39 @@ def test_shards_find_every_pair(spark, monkeypatch, level, radius):
     assert brute_groups([(r["u"], r["v"]) for r in found], fps) == want
 
 
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    k = min(5, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def test_near_copies_of_the_pipeline(spark, odd, none):
+    """Of every two texts whose five-word sets have a Jaccard similarity of 0.8 one stays, over chains too."""
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    chain = [" ".join(base[3 * i : 3 * i + 45]) for i in range(16)]  # neighbours alike, not the ends
+    rows = [(10**6 + i, t) for i, t in enumerate(chain)] + [(2 * 10**6 + i, " ".join([*base[:44], f"x{i}"])) for i in range(40)]
+    d = d.union(spark.createDataFrame(rows, d.schema))
+    own = {k: five_words(t) for k, t in texts(d).items()}
+    by, near = defaultdict(list), []
+    for k, s in own.items():
+        for g in s or [()]:
+            by[g].append(k)
+    for a, b in {p for ks in by.values() for p in itertools.combinations(sorted(ks), 2)}:
+        n = len(own[a] & own[b])
+        if own[a] == own[b] or n >= 0.8 * (len(own[a]) + len(own[b]) - n):
+            near.append((a, b))
+    want = brute_groups(near, own)
+    kept = corpus_pipeline.near_duplicates(spark, d, SF)
+    assert kept.schema == d.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    kept = minhash.one_of_each(odd)
+    groups = {minhash.shingles(r["text"]).tobytes() for r in odd.collect()}
+    assert kept.schema == odd.schema and kept.count() == len(groups) and minhash.one_of_each(none).count() == 0
+
+
 # 7
 
 
