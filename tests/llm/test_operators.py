@@ -118,6 +118,17 @@ def test_pseudonyms_are_valid_linked_and_reversible():
     assert there.replace("4111111111111111 x")[0].split()[0] == there.replace("y 4111111111111111")[0].split()[1]
 
 
+def test_long_secrets_leave_no_tail():
+    there, back, rng = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True), random.Random(5)
+    for alphabet in ("0123456789abcdef", "0123456789ABCDEF", "abcXYZ019+/"):
+        for n in (16, 511, 512, 513, 600, 1025, 5000):
+            value = "".join(rng.choice(alphabet) for _ in range(n))
+            text = f"token={value} end"
+            out, found = there.replace(text)
+            assert found == {"secret": 1} and len(out) == len(text) and back.replace(out)[0] == text
+            assert not any(value[i : i + 16] in out for i in range(n - 15))
+
+
 def test_pseudonymise(spark, odd, none, docs):
     out = pii.pseudonymise(docs, KEY, counts="found")
     assert out.columns == [*docs.columns, "found"] and out.count() == docs.count()

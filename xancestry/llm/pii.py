@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from .common import Memo, exact
 
 ROUNDS, MEMO_VALUES = 8, 100_000
+#: Characters of a secret that are permuted together at most.
+SECRET_BLOCK = 512
 #: Dates that are permuted among themselves, first and last.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
@@ -182,10 +184,15 @@ class Pseudonyms:
     def secret(self, v: str) -> str | None:
         name, value = re.fullmatch(SECRET, v, re.I).groups()
         hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value)
-        if hexa:
-            out = f"{self._p(int(value, 16), 16 ** len(value), 'hex'):x}".zfill(len(value))
-            return name + (out.upper() if value != value.lower() else out)
-        return name + self._alphabet(value, "secret")
+        n, out = -(-len(value) // SECRET_BLOCK), ""
+        for i in range(n):  # blocks of about equal length, so that none is a short rest
+            part, at = value[len(value) * i // n : len(value) * (i + 1) // n], str(i) * (i > 0)
+            if hexa:
+                new = f"{self._p(int(part, 16), 16 ** len(part), 'hex' + at):x}".zfill(len(part))
+                out += new.upper() if value != value.lower() else new
+            else:
+                out += self._alphabet(part, "secret" + at)
+        return name + out
 
     def replace(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts: dict[str, int] = {}
@@ -203,7 +210,7 @@ class Pseudonyms:
         return FOUND.sub(one, text), counts
 
 
-SECRET = r"""((?:[a-z0-9]+[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\t]*[=:][\x20\t]*["']?)([A-Za-z0-9+/_=-]{16,512})"""
+SECRET = r"""((?:[a-z0-9]+[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\t]*[=:][\x20\t]*["']?)([A-Za-z0-9+/_=-]{16,})"""
 KINDS = {
     "secret": rf"(?<![A-Za-z0-9_-])(?i:{SECRET.replace('((?:[a', '(?:(?:[a', 1).replace(')([A-Za', ')(?:[A-Za', 1)})",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
