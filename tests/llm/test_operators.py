@@ -411,6 +411,22 @@ def test_vectors_of_the_table(spark):
     assert [got[r["vec_id"]] for r in rows] == near.sum(1).tolist()
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_vectors_of_large_tables(spark, monkeypatch, hashes):
+    """Recall at the threshold with the hashes that tables of many vectors ask for."""
+    monkeypatch.setattr(embed_dedup, "hashes_for", lambda n, dim: hashes)
+    rng = np.random.default_rng(hashes)
+    x, z = rng.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    cos = rng.uniform(0.9001, 0.905, 400)[:, None]
+    y = cos * x + np.sqrt(1 - cos * cos) * z
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.link(d, 0.9).collect()}
+    assert sum(got[400 + i] == i for i in range(400)) >= 0.9 * 400
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = embed_dedup.hadamard(x)

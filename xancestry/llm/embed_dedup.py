@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, exact
 
-#: Tables, buckets of each that a vector is asked in (its own first), vectors that a bucket is to hold, most hashes of a bucket, rows
+#: Fewest tables, buckets of each that a vector is asked in (its own first), vectors that a bucket is to hold, most hashes of a bucket, rows
 #: of a block; a bucket of more rows is split in blocks of two chunks each.
 TABLES, PROBES, BUCKET, MOST_HASHES, CHUNK = 3, 4, 512, 4, 2048
+#: Share of the pairs at the threshold that the tables are to find, and simulated pairs that tell how many tables it takes.
+RECALL, TRIALS = 0.95, 4000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,24 @@ def hashes_for(n: int, dim: int) -> int:
     return int(min(MOST_HASHES, max(1, round(np.log(max(2, n) / BUCKET) / np.log(max(2, axes))))))
 
 
+def tables_for(hashes: int, dim: int, threshold: float, probes: int = PROBES) -> int:
+    """Tables that find RECALL of the pairs whose cosine is threshold, by simulated pairs: more hashes find fewer in each table."""
+    if dim < 2 or threshold >= 1:
+        return TABLES
+    rng = np.random.default_rng(17)
+    size = max(1, min(500, (1 << 18) // dim))
+    met = rounds = 0
+    for t in range(-(-TRIALS // size)):
+        x, z = unit(rng.normal(size=(size, dim))), rng.normal(size=(size, dim))
+        z = unit(z - (z * x).sum(1, keepdims=True) * x)
+        y = threshold * x + np.sqrt(1 - threshold * threshold) * z
+        a, b = buckets(x, 900 + t, hashes, probes), buckets(y, 900 + t, hashes, probes)
+        met += int(((a[:, :1] == b).any(1) | (b[:, :1] == a).any(1)).sum())
+        rounds += size
+    share = min(max(met, 1) / rounds, 1 - 1e-9)
+    return max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - share))))
+
+
 def pairs_of_block(ids, mult, vec, own, asked, table, bucket, first, threshold):
     """Links of one block. first: rows of the first chunk, to be compared with the rest, or None: all with all.
 
@@ -109,14 +129,15 @@ def pairs_of_block(ids, mult, vec, own, asked, table, bucket, first, threshold):
     return count, parent
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, probes: int = PROBES) -> DataFrame:
     """Links vectors whose cosine is at least threshold.
 
     Returns id_col (as long), n_links (other rows linked directly), component_id (smallest id reachable, itself
     included) and kept (id = component_id). Vectors that are null, empty or zero or hold a null or non-finite component,
     and rows without an id, link with nothing (without an id the component is null, and the row isn't kept). Vectors of
     different length aren't compared. Equal vectors, repeated rows among them, are linked with each other and stand for
-    one class in the search. Other columns are left out; an empty table gives an empty one.
+    one class in the search. Without tables given, as many are made as find RECALL of the pairs at the threshold, however many
+    hashes the number of vectors asks for. Other columns are left out; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     v = vectors.select(exact(id_col).cast("long").alias("id"), exact(vec_col).cast("array<double>").alias("v"))
@@ -125,6 +146,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     classes = cut(v.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")))
     found = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()  # a row a length of vectors
     hashes = {r["dim"]: hashes_for(r["n"], r["dim"]) for r in found}
+    tables_of = {dim: tables or tables_for(h, dim, threshold, probes) for dim, h in hashes.items()}
 
     def spread(batches):
         for batch in batches:
@@ -132,7 +154,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
             dims = np.array([len(x) for x in vec])
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                x = unit([vec[i] for i in rows])
+                x, tables = unit([vec[i] for i in rows]), tables_of[int(dim)]
                 all_ = np.stack([buckets(x, t, hashes[int(dim)], probes) for t in range(tables)], 1)
                 width = all_.shape[2]
                 table, probe = (g.ravel() for g in np.meshgrid(np.arange(tables), np.arange(width), indexing="ij"))
@@ -160,7 +182,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
         order = np.argsort(rep, kind="stable")
         rep, mult, chunk = rep[order], col("mult").to_numpy()[order], col("chunk").to_numpy()[order]
         binary = lambda c, kind: np.frombuffer(b"".join(col(c).to_pylist()), kind).reshape(len(rep), -1)[order]
-        vec, asked = binary("vec", np.float64), binary("asked", np.int64).reshape(len(rep), tables, -1)
+        vec, asked = binary("vec", np.float64), binary("asked", np.int64).reshape(len(rep), tables_of[col("dim")[0].as_py()], -1)
         i, j = col("i")[0].as_py(), col("j")[0].as_py()
         count, parent = pairs_of_block(rep, mult, vec, asked[:, :, 0], asked, col("table")[0].as_py(), col("bucket")[0].as_py(), None if i == j else chunk == i, threshold)
         some = np.flatnonzero((count > 0) | (parent != np.arange(len(rep))))
