@@ -576,6 +576,17 @@ def test_recordings(spark, odd, none):
     assert chroma.align(a, b)[0] == 10 and chroma.align(a, b)[2] < 0.05 and chroma.align(a, a)[::2] == (0, 0.0)
 
 
+def test_recordings_meet_past_a_first_that_does_not_align(spark):
+    """Every anchor of 3 and 4, which are alike, is also held by 1 or 2, which hold a part each and align with neither."""
+    rng = np.random.default_rng(9)
+    song = lambda n: tone(440 * 2 ** (rng.integers(-12, 24, 64) / 12), n, seed=int(rng.integers(99)))
+    whole = song(6)[: 64 * 700]
+    parts = [whole[: 64 * 400] + song(6), whole[64 * 280 :] + song(6)]
+    rows = [(1, bytearray(parts[0])), (2, bytearray(parts[1])), (3, bytearray(whole)), (4, bytearray(whole[:-400] + bytes(400)))]
+    got = {r["doc_id"]: r["component_id"] for r in chroma.align_recordings(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_area_sums_match_direct_ones():
     x = np.random.default_rng(1).normal(size=3000)
     image, ints = chroma.chroma(x), chroma.fingerprint(x)
