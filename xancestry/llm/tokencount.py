@@ -10,20 +10,26 @@ is always that of the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, exact, shipped
+from .common import exact, shipped
 
 #: Characters of a chunk and of the overlap of two, and words that a worker remembers.
-CHUNK_CHARS, OVERLAP_CHARS, MEMO_WORDS = 1 << 15, 256, 600_000
+CHUNK_CHARS, OVERLAP_CHARS, MEMO_WORDS = 1 << 15, 256, 1_000_000
 
 #: A white space character of ASCII is a starter that composes with nothing, and no token holds one once the
 #: tokenizer drops white space; so a text can be cut on either side of it. Used by tokenizers for which
 #: drops_white_space() holds.
 SPACE = re.compile(r"[\t-\r ]")
+#: Normalizers that look at no more than a character, its marks and a run of white space, so never across white space of ASCII.
+LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+#: What a splitting pattern may be made of so that no match holds white space: alternatives of plain letters and of classes without it.
+UNSPACED = re.compile(r"(?:'[a-z]+|\[(?:\\p\{[LNM]\})+\]\+?|\\p\{[LNM]\}\+?|\[\^\\s(?:\\p\{[LNM]\})*\]\+?)")
 
 
 class Counter:
@@ -34,22 +40,44 @@ class Counter:
 
         if not 0 < overlap < chunk:
             raise ValueError("an overlap has to be shorter than a chunk")
+        # A Python worker has one core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.chunk, self.overlap = Tokenizer.from_str(data.decode()), chunk, overlap
+        self.parts = json.loads(data)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = self.drops_white_space() and not any(SPACE.search(x) for x in self.specials)
         self.words: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.widened = 0
 
     def drops_white_space(self) -> bool:
-        """Whether white space of ASCII gives no token and is always a boundary, as far as probes with the tokenizer show."""
+        """Whether white space of ASCII gives no token and is always a boundary.
+
+        Known from the tokenizer's parts: every normalizer is local or turns white space into a space, the first step of splitting
+        keeps only matches of a pattern that can't hold white space, and what follows works within a match. Other tokenizers
+        aren't cut. Probes with the tokenizer itself have to agree.
+        """
+        steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+        norms, splits = steps(self.parts["normalizer"], "normalizers"), steps(self.parts["pre_tokenizer"], "pretokenizers")
+        local = all(x["type"] in LOCAL or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in norms)
+        first = splits[0] if splits else {"type": None}
+        split = first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or (
+            first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and all(map(UNSPACED.fullmatch, first["pattern"].get("Regex", " ").split("|")))
+        )
+        if not local or not split or any(x["type"] == "ByteLevel" and x["add_prefix_space"] for x in splits):
+            return False
         ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
-        probes = ["a", "a's", "'s", "12", ".,", "é", "é", "́", "ß", "中", "Σ"]
+        probes = ["a", "a's", "'s", "12", ".,", "é", "é", "́", "ß", "中", "Σ"]
         return all(ids(a + s + b) == ids(a) + ids(b) and ids(s) == [] for s in "\t\n\v\f\r " for a in probes for b in probes)
 
     def of_words(self, text: str) -> int:
-        """Of a text that fits a chunk. Words between white space are encoded each once and remembered."""
+        """Of a text that fits a chunk. Words between white space are encoded each once and remembered.
+
+        Two generations are kept: when the young one is full it takes the old one's place, and what is used of that comes
+        back, so that the frequent words stay.
+        """
         if not self.by_word:
             return len(self.tok.encode_batch_fast([text], add_special_tokens=False)[0])
         words, known = SPACE_RUN.split(text), self.words
@@ -57,10 +85,15 @@ class Counter:
             return sum(map(known.__getitem__, words))
         except KeyError:
             pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > MEMO_WORDS:
-            known.clear()
-            new = list(set(words))
+        new = set(words).difference(known)
+        if len(known) + len(new) > MEMO_WORDS // 2:
+            self.older, self.words = known, {}
+            known, new = self.words, set(words)
+        older = self.older
+        if back := [w for w in new if w in older]:
+            known.update((w, older[w]) for w in back)
+            new.difference_update(back)
+        new = list(new)
         known.update(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False))))
         return sum(map(known.__getitem__, words))
 
