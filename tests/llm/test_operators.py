@@ -411,20 +411,41 @@ def test_vectors_of_the_table(spark):
     assert [got[r["vec_id"]] for r in rows] == near.sum(1).tolist()
 
 
-@pytest.mark.parametrize("hashes", [2, 3, 4])
-def test_vectors_of_large_tables(spark, monkeypatch, hashes):
-    """Recall at the threshold with the hashes that tables of many vectors ask for."""
-    monkeypatch.setattr(embed_dedup, "hashes_for", lambda n, dim: hashes)
-    rng = np.random.default_rng(hashes)
+def test_axes_follow_the_number_of_vectors():
+    assert [embed_dedup.axes_for(n, 64) for n in (0, 10**4, 10**6, 10**8, 10**9)] == [[64], [64], [64, 8], [64, 64, 8], [64, 64, 64]]
+    for dim in (1, 2, 3, 100, 1024):
+        for n in (1, 10**5, 10**12, 10**15):
+            axes = embed_dedup.axes_for(n, dim)
+            assert axes and embed_dedup.code_type(axes) and embed_dedup.buckets(np.ones((2, dim)), 0, axes, 2).min() >= 0
+
+
+def test_rounding_is_bounded():
+    rng = np.random.default_rng(4)
+    for dim in (2, 64, 1500):
+        x = embed_dedup.unit(rng.normal(size=(200, dim)) ** 3)
+        q, scale, lost = embed_dedup.rounded(x)
+        got = (q.astype(float) @ q.T.astype(float)) * scale[:, None] * scale
+        assert (np.abs(got - x @ x.T) <= lost[:, None] + lost + lost[:, None] * lost + 1e-12).all()
+
+
+@pytest.mark.parametrize("axes", [[64, 4], [64, 64], [64, 64, 64]])
+def test_vectors_of_large_tables(spark, monkeypatch, axes):
+    """Recall at the threshold with the hashes that tables of many vectors ask for; pairs just below it aren't linked."""
+    monkeypatch.setattr(embed_dedup, "axes_for", lambda n, dim: axes)
+    rng = np.random.default_rng(len(axes))
     x, z = rng.normal(size=(2, 400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     z -= (z * x).sum(1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
     cos = rng.uniform(0.9001, 0.905, 400)[:, None]
     y = cos * x + np.sqrt(1 - cos * cos) * z
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.link(d, 0.9).collect()}
+    w = x + 0.0
+    low = 0.8999999 * x + np.sqrt(1 - 0.8999999**2) * z
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y, -w, -low)))], "vec_id long, embedding array<double>")
+    rows = embed_dedup.link(d, 0.9).collect()
+    got = {r["vec_id"]: r["component_id"] for r in rows}
     assert sum(got[400 + i] == i for i in range(400)) >= 0.9 * 400
+    assert all(got[k] == k for k in range(800, 1600))
 
 
 def test_hadamard():

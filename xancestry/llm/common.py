@@ -59,15 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/xancestry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def deleted(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table that cut() wrote."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for top in {f.rpartition("/")[0] for f in df.inputFiles() if "/xancestry-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(conf).delete(path, True)
+def deleted(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that cut() returned. They may not be read again: what hangs on them has to be written before."""
+    for df in tables:
+        if df is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -93,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         small = small.union(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = cut(small)
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        deleted(spark, now)
+        deleted(now)
         now = after
         if sums == mark:
             break
