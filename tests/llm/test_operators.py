@@ -593,10 +593,85 @@ def test_recordings(spark, odd, none):
     assert got[100]["component_id"] == got[101]["component_id"] == 0 and got[101]["class_id"] == 0
     assert got[102]["component_id"] == got[103]["component_id"] == 102 and got[None]["component_id"] is None
     assert chroma.align_recordings(odd).count() == odd.count() and chroma.align_recordings(none).count() == 0
-    a, b = (chroma.fingerprint(np.frombuffer(tone(songs[0], 6)[k:], np.uint8) / 127.5 - 1) for k in (0, 640))
+    a, b = chroma.fingerprints([chroma.samples_of(tone(songs[0], 6)[k:]) for k in (0, 640)])
     assert chroma.align(a, b)[0] == 10 and chroma.align(a, b)[2] < 0.05 and chroma.align(a, a)[::2] == (0, 0.0)
 
 
+def brute_align(a, b):
+    """Every offset, integer by integer."""
+    votes = Counter(i - j for i, x in enumerate(a) for j, y in enumerate(b) if x == y)
+    if not votes:
+        return None
+    offset = min(votes, key=lambda o: (-votes[o], abs(o), o))
+    both = [(a[j + offset], b[j]) for j in range(len(b)) if 0 <= j + offset < len(a)]
+    return offset, len(both), sum((int(x) ^ int(y)).bit_count() for x, y in both) / (32 * len(both))
+
+
+@pytest.mark.parametrize("often", [64, 0.01])
+def test_alignment_is_the_most_voted_offset(monkeypatch, often):
+    monkeypatch.setattr(chroma, "OFTEN", often)
+    rng = np.random.default_rng(12)
+    for i in range(60):
+        a = rng.integers(0, 12, rng.integers(1, 40)).astype(np.uint32)
+        b = a[rng.integers(0, len(a)) :].copy() if i % 2 else rng.integers(0, 12, rng.integers(1, 40)).astype(np.uint32)
+        assert chroma.align(a, b) == brute_align(a.tolist(), b.tolist())
+        if (got := chroma.align(a, b)) is not None:
+            fine = got[1] >= max(16, 0.7 * min(len(a), len(b))) and got[2] <= 0.06
+            assert chroma.accepted(a, b) == ((got[0], got[2]) if fine else None)
+        assert (chroma.unpacked(chroma.packed(a)) == a).all()
+    a, b = (np.repeat(rng.integers(0, 3, 4), n).astype(np.uint32) for n in (100, 60))
+    assert chroma.align(a, b) == brute_align(a.tolist(), b.tolist())
+
+
+def test_alignments_against_brute_force(spark):
+    """Recordings whose id is divisible by 20 against all: at least 0.9 of the pairs that align hang together, and components are those of pairs that align."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(7)
+    more = []
+    for k, t in [(k, t) for k, t in sorted(texts(d).items()) if t and len(t) > 700][:160]:
+        at = rng.randrange(len(t) // 8)
+        more.append((10**6 + 20 * k, (t[at : at + int(len(t) * 0.85)], t[: len(t) // 2] + " x" + t[len(t) // 2 :], "é" * rng.randrange(40) + t)[k % 3]))
+    d = d.union(spark.createDataFrame(more, d.schema))
+    rows = sorted(texts(d).items())
+    prints = dict(zip((k for k, _ in rows), chroma.fingerprints([chroma.samples_of(t) for _, t in rows], 256, 8)))
+    got = {r["doc_id"]: r for r in chroma.align_recordings(d, frame=256, hop=8).collect()}
+    assert {k: r["fingerprint_sha256"] for k, r in got.items()} == {k: hashlib.sha256(x.tobytes()).hexdigest() for k, x in prints.items()}
+    found = lost = 0
+    for q in (k for k in prints if k % 20 == 0):
+        for k, x in prints.items():
+            if k != q and x.tobytes() != prints[q].tobytes() and len(x) >= 16 and len(prints[q]) >= 16 and len(np.intersect1d(x, prints[q])) and chroma.accepted(x, prints[q]):
+                same = got[k]["component_id"] == got[q]["component_id"]
+                found, lost = found + same, lost + (not same)
+    assert found > 150 and found >= 0.9 * (found + lost), (found, lost)
+    # What hangs together does so over pairs that align, and the match named is one of them.
+    for k, r in got.items():
+        if r["match_id"] is not None:
+            offset, errors = chroma.accepted(prints[r["match_id"]], prints[r["class_id"]])
+            assert r["match_id"] < r["class_id"] and errors == r["bit_errors"] and (offset == r["match_offset"] or offset == -r["match_offset"])
+    groups = defaultdict(set)
+    for r in got.values():
+        groups[r["component_id"]].add(r["class_id"])
+    near = []
+    for ks in groups.values():
+        near += [(a, b) for a, b in itertools.combinations(sorted(ks), 2) if chroma.accepted(prints[a], prints[b])]
+    want = brute_groups(near + [(r["doc_id"], r["class_id"]) for r in got.values()], got)
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
+def test_long_and_monotonous_recordings(spark, monkeypatch):
+    """Blocks change nothing, a single tone's equal integers cost no more than their number, and a clip is found in a long recording."""
+    rng = np.random.default_rng(2)
+    song = tone(440 * 2 ** (rng.integers(-12, 24, 64) / 12), 60)
+    one = chroma.fingerprints([chroma.samples_of(x) for x in (song, None, b"", b"a" * 300_000, song[:5000])])
+    monkeypatch.setattr(chroma, "FRAMES", 100)
+    monkeypatch.setattr(chroma, "BLOCK", 1 << 13)
+    assert all((a == b).all() for a, b in zip(one, chroma.fingerprints([chroma.samples_of(x) for x in (song, None, b"", b"a" * 300_000, song[:5000])])))
+    monkeypatch.undo()
+    rows = [(1, bytearray(song)), (2, bytearray(song[64 * 3000 : 64 * 3400])), (3, bytearray(b"a" * 300_000)), (4, bytearray(b"a" * 200_000))]
+    got = {r["doc_id"]: r for r in chroma.align_recordings(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert got[2]["component_id"] == 1 and got[2]["match_offset"] == 3000 and got[4]["component_id"] == 3
+
+
 def test_recordings_meet_past_a_first_that_does_not_align(spark):
     """Every anchor of 3 and 4, which are alike, is also held by 1 or 2, which hold a part each and align with neither."""
     rng = np.random.default_rng(9)
@@ -610,14 +685,15 @@ def test_recordings_meet_past_a_first_that_does_not_align(spark):
 
 def test_area_sums_match_direct_ones():
     x = np.random.default_rng(1).normal(size=3000)
-    image, ints = chroma.chroma(x), chroma.fingerprint(x)
+    image = chroma.chroma(x)
+    ints = chroma.integers(image)
     assert len(ints) == len(image) - chroma.SPAN + 1
     for at in (0, len(ints) - 1):
         bits = 0
         for kind, p, h, w in chroma.FILTERS:
-            r = image[at : at + w, p : p + h]
+            r = image[at : at + w, p : p + h] / chroma.UNIT
             t, q = w // 2, h // 2
             a = (r[t:], r[:, q:], None, r[w // 4 : w - w // 4])[kind]
             a = r[:t, :q].sum() + r[t:, q:].sum() if a is None else a.sum()
-            bits = bits << 2 | int(chroma.GRAY[sum(np.log((1 + a) / (1 + r.sum() - a)) >= np.array(chroma.LEVELS))])
+            bits = bits << 2 | (0, 1, 3, 2)[sum(np.log((1 + a) / (1 + r.sum() - a)) >= np.array(chroma.LEVELS))]
         assert bits == ints[at]

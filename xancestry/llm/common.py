@@ -112,15 +112,23 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 STARS = 3
 
 
-def linked(posted: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(node long, key long), each once -> (links that verify found, their components as from components()).
+def linked(posted: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(node long, key long, perhaps x), each node and key once -> (links that verify found, their components as from components(), tables to delete at the end).
 
-    verify takes pairs (u long, v long), u > v, and returns those that hold, with any further columns. Pairs that share a key are
-    candidates, and a candidate goes unverified only if its nodes hang together over links already, so the
+    verify takes pairs (u long, v long), u > v, and returns those that hold, with any further columns. Pairs that share a key, and for which
+    fits says so of what each has in x for that key, are candidates; a candidate goes unverified only if its nodes hang together over links already, so the
     components are those of all candidates. A few rounds compare each node with one node of each key that it has, another
     one every round, which joins a large group of near-copies without its pairs; then every pair still apart is verified.
     """
     links = met = tried = None
+    own, x = [c for c in ("x",) if c in posted.columns], [F.col(c) for c in ("x",) if c in posted.columns]
+    near = fits(F.col("x"), F.col("ox")) if fits else F.lit(True)
+    used = []
+
+    def kept(df):
+        used.append(cut(df))
+        return used[-1]
+
     for turn in range(STARS + 1):
         now = posted
         if met is None:
@@ -128,26 +136,26 @@ def linked(posted: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple
         else:
             now = now.join(met.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
             apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            now = cut(now.join(apart, "key"))
+            now = kept(now.join(apart, "key"))
         if turn < STARS:
-            other = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "c")).alias("o")).select("key", F.col("o.node").alias("o"), F.col("o.c").alias("oc"))
+            other = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "c", *x)).alias("o")).select("key", F.col("o.node").alias("o"), F.col("o.c").alias("oc"), *(F.col(f"o.{k}").alias("o" + k) for k in own))
             pairs = now.join(other, "key").where("c <> oc")
         else:
             # A key's largest component needs no row on the left: its pairs with others stand there with these on the left.
             size = now.groupBy("key", "c").agg(F.count("*").alias("n"))
             main = size.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
-            left = now.join(main, "key").where("c <> main").select("key", "node", "c")
-            pairs = left.join(now.select("key", F.col("node").alias("o"), F.col("c").alias("oc")), "key").where("c <> oc")
-        pairs = pairs.select(F.greatest("node", "o").alias("u"), F.least("node", "o").alias("v")).distinct()
+            left = now.join(main, "key").where("c <> main").select("key", "node", "c", *x)
+            pairs = left.join(now.select("key", F.col("node").alias("o"), F.col("c").alias("oc"), *(F.col(k).alias("o" + k) for k in own)), "key").where("c <> oc")
+        pairs = pairs.where(near).select(F.greatest("node", "o").alias("u"), F.least("node", "o").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(verify(pairs))
+        pairs = kept(pairs)
+        new = kept(verify(pairs))
         tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
         if met is None or not new.isEmpty():
-            met = cut(components(links.select("u", "v")))
-    return links, met
+            met = kept(components(links.select("u", "v")))
+    return links, met, used
 
 
 class Memo(dict):
