@@ -3,14 +3,18 @@
 Card numbers, account numbers, social security numbers, telephone numbers, network addresses and dates are found by
 pattern and validated by their own rules (check digits, ranges, calendar). A value is then numbered within the set of
 all valid values of its format, that number is permuted by a keyed Feistel network, and the value of the new number
-takes its place. So a pseudonym is valid again, equal values get equal pseudonyms in every document, and only
-who has the key can turn them back. Letters and digits of e-mail addresses and of secrets that are given as such are
-permuted in the same way within their alphabets.
+takes its place. So a pseudonym is valid again, equal values get equal pseudonyms in every document and whatever the
+layout that they are written in, and only who has the key can turn them back. Letters and digits of e-mail addresses and of secrets that are
+given as such are permuted in the same way within their alphabets.
+
+Layouts stay, but for what a pseudonym can't show: IPv6 addresses come out with all eight groups, days and months below 10 without a
+zero where one of the two had none, and month names in the length of the value's own. There the value can be turned back, not its spelling.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from datetime import date
@@ -26,6 +30,7 @@ ROUNDS, MEMO_VALUES = 8, 100_000
 SECRET_BLOCK = 512
 #: Dates that are permuted among themselves, first and last.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 class Feistel:
@@ -123,10 +128,36 @@ class Pseudonyms:
         area, group = divmod(x, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
+    @staticmethod
+    def _american(d: str) -> bool:
+        """Whether ten digits are a number of the North American plan: neither area nor exchange begins with 0 or 1."""
+        return d[0] > "1" and d[3] > "1"
+
+    def _ten(self, d: str) -> str:
+        """Ten digits after the country code 1; valid ones are permuted among themselves, as are the others."""
+        valid, x = self._american(d), d
+        while True:
+            x = self._digits(x, "phone1")
+            if self._american(x) == valid:
+                return x
+
     def phone(self, v: str) -> str | None:
         """An international number of 8 to 15 digits: the first digit stays, the rest is permuted."""
         d = only(v)
-        return relaid(v, d[0] + self._digits(d[1:], "phone" + d[0])) if 8 <= len(d) <= 15 else None
+        if not 8 <= len(d) <= 15:
+            return None
+        return relaid(v, d[0] + (self._ten(d[1:]) if d[0] == "1" and len(d) == 11 else self._digits(d[1:], "phone" + d[0])))
+
+    def local_phone(self, v: str) -> str | None:
+        """A number without its country: three, three and four digits of the North American plan, the same as behind +1; or 9 to 12 digits from 0 on, which stays."""
+        d = only(v)
+        if d[0] == "0":
+            if not 9 <= len(d) <= 12:
+                return None
+            n = len(d) - 2
+            return relaid(v, "0" + str(self._p(int(d[1:]) - 10**n, 9 * 10**n, "trunk") + 10**n))
+        lead = d[:-10]
+        return relaid(v, lead + self._ten(d[-10:])) if self._american(d[-10:]) else None
 
     def ip(self, v: str) -> str | None:
         parts = v.split(".")
@@ -135,8 +166,21 @@ class Pseudonyms:
         x = self._p(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip")
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, y: int, m: int, d: int, late: bool = False) -> tuple[int, int, int] | None:
-        """The pseudonym of a date; late: among those after the 12th of a month, whose layout shows which part is the day."""
+    def ip6(self, v: str) -> str | None:
+        """A valid address of at least three groups that are given; the pseudonym has all eight."""
+        groups = [x for x in v.split(":") if x]
+        try:
+            x = int(ipaddress.IPv6Address(v))
+        except ValueError:
+            return None
+        if len(groups) < 3:
+            return None
+        x = f"{self._p(x, 1 << 128, 'ip6'):032x}"
+        out = ":".join(x[i : i + 4].lstrip("0") or "0" for i in range(0, 32, 4))
+        return out.upper() if v != v.lower() else out
+
+    def _day(self, y: int, m: int, d: int) -> tuple[int, int, int] | None:
+        """The pseudonym of a date, one for all layouts. Days after the 12th, by which a layout shows which part is the day, are permuted among themselves, as are the others."""
         try:
             x = date(y, m, d).toordinal()
         except ValueError:
@@ -144,23 +188,40 @@ class Pseudonyms:
         if not FIRST_DAY <= x <= LAST_DAY:
             return None
         while True:
-            x = FIRST_DAY + self._p(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "late" if late else "date")
+            x = FIRST_DAY + self._p(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")
             out = date.fromordinal(x)
-            if not late or out.day > 12:
+            if (out.day > 12) == (d > 12):
                 return out.year, out.month, out.day
 
     def iso_date(self, v: str) -> str | None:
-        out = self._day(int(v[:4]), int(v[5:7]), int(v[8:]))
-        return out and f"{out[0]:04d}{v[4]}{out[1]:02d}{v[7]}{out[2]:02d}"
+        y, m, d = re.split("[-/.]", v)
+        out, wide = self._day(int(y), int(m), int(d)), 2 if len(m) == len(d) == 2 else 1
+        return out and f"{out[0]:04d}{v[4]}{out[1]:0{wide}d}{v[4]}{out[2]:0{wide}d}"
 
     def short_date(self, v: str) -> str | None:
-        """Two digits, two digits, year: the month first after a slash unless it is over 12, else the day."""
-        sep, a, b, y = v[2], int(v[:2]), int(v[3:5]), int(v[6:])
-        if sep == "/" and a <= 12:
-            out = self._day(y, a, b)
-            return out and f"{out[1]:02d}/{out[2]:02d}/{out[0]:04d}"
-        out = self._day(y, b, a, late=sep == "/")
-        return out and f"{out[2]:02d}{sep}{out[1]:02d}{sep}{out[0]:04d}"
+        """Day and month in some order, then the year: the month first after a slash unless it is over 12, else the day."""
+        a, b, y = re.split("[-/.]", v)
+        sep, wide, month_first = v[len(a)], 2 if len(a) == len(b) == 2 else 1, v[len(a)] == "/" and int(a) <= 12
+        out = self._day(int(y), *((int(a), int(b)) if month_first else (int(b), int(a))))
+        if not out:
+            return None
+        first, second = (out[1], out[2]) if month_first else (out[2], out[1])
+        return f"{first:0{wide}d}{sep}{second:0{wide}d}{sep}{out[0]:04d}"
+
+    def long_date(self, v: str) -> str | None:
+        """Month by its English name, whole or its first three letters; an ordinal's ending follows the day."""
+        name = re.search("[A-Za-z]{3,}", re.sub(r"(?<=[0-9])(?:st|nd|rd|th)|\bof\b", "", v)).group()
+        month = [m[:3].lower() for m in MONTHS].index(name[:3].lower()) + 1
+        day, year = re.findall("[0-9]+", v)
+        out = self._day(int(year), month, int(day))
+        if not out:
+            return None
+        new = MONTHS[out[1] - 1] if len(name) > 3 or name.lower() == "may" else MONTHS[out[1] - 1][:3]
+        new = new.upper() if name.isupper() else new.lower() if name.islower() else new
+        ends = "th" if 11 <= out[2] <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(out[2] % 10, "th")
+        put = iter((f"{out[2]:0{len(day) if day[0] == '0' else 1}d}", str(out[0])))
+        out_ = re.sub(rf"\b{name}\b|[0-9]+", lambda x: new if x.group()[0].isalpha() else next(put), v)
+        return re.sub("(?<=[0-9])(?:st|nd|rd|th)", ends, out_)
 
     def _alphabet(self, v: str, tweak: str) -> str:
         """Digits, small letters and capitals permuted together, each place within its own alphabet."""
@@ -175,24 +236,25 @@ class Pseudonyms:
             out.append(of[k])
         return "".join(reversed(out))
 
+    def _pieces(self, v: str, tweak: str, one: Callable[[str, str], str]) -> str:
+        """v in blocks of about equal length, so that none is a short rest."""
+        n, out = -(-len(v) // SECRET_BLOCK), ""
+        for i in range(n):
+            out += one(v[len(v) * i // n : len(v) * (i + 1) // n], tweak + str(i) * (i > 0))
+        return out
+
     def email(self, v: str) -> str | None:
-        """The part before the at sign and the domain's first label; case doesn't part equal addresses' owners."""
+        """The part before the at sign and every label of the domain but the last; case doesn't part equal addresses' owners."""
         user, _, host = v.partition("@")
-        label, dot, rest = host.partition(".")
-        return self._alphabet(user, "user") + "@" + (self._alphabet(label, "host") + dot + rest if "." in rest else host)
+        *labels, top = host.split(".")
+        return self._pieces(user, "user", self._alphabet) + "@" + ".".join([*(self._alphabet(x, "host") for x in labels), top])
 
     def secret(self, v: str) -> str | None:
         name, value = re.fullmatch(SECRET, v, re.I).groups()
-        hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value)
-        n, out = -(-len(value) // SECRET_BLOCK), ""
-        for i in range(n):  # blocks of about equal length, so that none is a short rest
-            part, at = value[len(value) * i // n : len(value) * (i + 1) // n], str(i) * (i > 0)
-            if hexa:
-                new = f"{self._p(int(part, 16), 16 ** len(part), 'hex' + at):x}".zfill(len(part))
-                out += new.upper() if value != value.lower() else new
-            else:
-                out += self._alphabet(part, "secret" + at)
-        return name + out
+        if not re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+            return name + self._pieces(value, "secret", self._alphabet)
+        out = self._pieces(value, "hex", lambda x, t: f"{self._p(int(x, 16), 16 ** len(x), t):x}".zfill(len(x)))
+        return name + (out.upper() if value != value.lower() else out)
 
     def replace(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts: dict[str, int] = {}
@@ -211,15 +273,19 @@ class Pseudonyms:
 
 
 SECRET = r"""((?:[a-z0-9]+[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\t]*[=:][\x20\t]*["']?)([A-Za-z0-9+/_=-]{16,})"""
+_MONTH = "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
 KINDS = {
     "secret": rf"(?<![A-Za-z0-9_-])(?i:{SECRET.replace('((?:[a', '(?:(?:[a', 1).replace(')([A-Za', ')(?:[A-Za', 1)})",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "iso_date": r"(?<![0-9A-Za-z/.-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[/.-][0-9])",
-    "short_date": r"(?<![0-9A-Za-z/.-])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9]|[/.-][0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])",
+    "iso_date": r"(?<![0-9A-Za-z/.-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[/.-][0-9])",
+    "short_date": r"(?<![0-9A-Za-z/.-])[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}(?![0-9]|[/.-][0-9])",
+    "long_date": rf"(?<![0-9A-Za-z])(?:(?i:{_MONTH})\.?\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?|[0-9]{{1,2}}(?:st|nd|rd|th)?\x20(?:of\x20)?(?i:{_MONTH})\.?,?)\x20[0-9]{{4}}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+(?:1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|[1-9](?:[\x20.-]?\(?[0-9]{1,4}\)?){2,7})(?![0-9])",
+    "local_phone": r"(?<![0-9A-Za-z+./-])(?<![0-9][\x20.-])(?:(?:1[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|\(?0[1-9][0-9]{1,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5})(?![0-9A-Za-z]|[\x20.-][0-9])",
     "card": r"(?<![0-9A-Za-z+])(?<![0-9][.-])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2}(?:[\x20-][0-9]{4}(?:[\x20-][0-9]{3})?|[\x20-][0-9]{1,3})|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9A-Za-z])",
 }
 #: Every pattern needs one of these, so a text without is passed over at once.
