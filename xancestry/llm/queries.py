@@ -21,7 +21,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymise(docs, DEMO_KEY, counts="kinds")
     of = lambda *kinds: sum((F.coalesce(F.element_at("kinds", k), F.lit(0)) for k in kinds), F.lit(0)).cast("long")
-    return out.select("doc_id", "text", of("card", "iban", "ssn", "phone", "ip").alias("n_numbers"), of("iso_date", "short_date").alias("n_dates"), of("email", "secret").alias("n_other"))
+    return out.select("doc_id", "text", of("card", "iban", "ssn", "phone", "local_phone", "ip", "ip6").alias("n_numbers"), of("iso_date", "short_date", "long_date").alias("n_dates"), of("email", "secret").alias("n_other"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT AS r
+         ('0x' || substr(md5(coalesce('mix:' || CAST(doc_id AS VARCHAR), 'mix::' || coalesce(text, ''))), 1, 13))::BIGINT AS r
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
@@ -99,8 +99,8 @@ o AS (
          sum(d.size) OVER (PARTITION BY d.source, d.r) AS tied
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
 SELECT doc_id, size, source_size, target,
-       (whole + CASE WHEN upto - tied / 2.0::DOUBLE <= target - whole * source_size AND whole < 2 AND target > 0 THEN 1 ELSE 0 END)::BIGINT AS repeats,
-       ((whole + CASE WHEN upto - tied / 2.0::DOUBLE <= target - whole * source_size AND whole < 2 AND target > 0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((whole + CASE WHEN upto - tied / 2.0::DOUBLE <= target - whole * source_size AND whole < 2 AND target > 0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
+       (whole + CASE WHEN upto - tied / 2.0::DOUBLE <= target - whole * source_size AND whole < 2 AND target > 0 THEN 1 ELSE 0 END)::BIGINT AS repeats
 FROM o
 """
 
