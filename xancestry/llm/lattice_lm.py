@@ -2,34 +2,36 @@
 
 The pieces and their first scores come from a tokenizer's vocabulary. A word's lattice has an arc for every piece that it
 contains; the forward recursion in log space adds up all ways through it, which gives the probability of the word
-whatever way it is cut. Piece probabilities are learned from the corpus by expected counts over the same lattices
-(forward and backward). Pieces alone spell a frequent word dearly, so the lattice of a word of the training texts has one
-arc more, over the whole word, with its share of the training words; what pieces spell gets the share that
-words seen once have (Good and Turing's estimate of the unseen).
-
-A text is an urn's sequence: its words are drawn from the lattice's distribution, and each drawn one is put back twice, with
-CONCENTRATION for the size of the distribution. A word that the text repeats so costs less each time. The probability
-of a text with its end is a closed form of its counts, whatever the order.
+whatever way it is cut. No piece crosses the begin of a word, so a text's lattice is a chain of its words' lattices with the end
+behind it, and its marginal probability is the product of theirs. Pieces, bytes and the end share one distribution, which is
+learned from the training texts by expected counts over the same lattices (forward and backward), each word as often as they have it.
 
 What the corpus tells is gathered as counts of words, each counted once a chunk of documents; a word's lattice is
 worked out once for the whole corpus, whatever number of documents have it.
+
+A second score beside it mixes that distribution of words with the training texts' own counts: an arc more over each whole known word,
+with its share of the training words, and the share that words seen once have (Good and Turing's estimate of the unseen) for what
+pieces spell. A text is an urn's sequence there: each drawn word is put back twice, with CONCENTRATION for the
+size of the distribution, so that a word costs less each time that the text repeats it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut, exact, shipped
 
 #: Characters of text in a chunk of documents, longest word that is handled in arrays, words handled at once, rounds of learning.
-CHUNK_CHARS, LONG_WORD, WORDS_AT_ONCE, ROUNDS = 12 << 20, 40, 20_000, 1
+CHUNK_CHARS, LONG_WORD, WORDS_AT_ONCE, ROUNDS = 12 << 20, 40, 20_000, 2
 #: A count that every piece and byte has besides what was learned.
 SMOOTHING = 0.1
 #: How many words of a text weigh as much as the distribution that they are drawn from.
 CONCENTRATION = 1000.0
+#: Characters of a longer word go through the recursion one by one, with the way there kept at every BLOCKth.
+ARRAYS, BLOCK = 1 << 16, 1 << 12
 #: Stands for the begin of a word in the lattice; no text has it.
 BEGIN = 0x110000
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -154,8 +156,9 @@ class Lattice:
             at_once = WORDS_AT_ONCE if size <= LONG_WORD else max(1, WORDS_AT_ONCE * LONG_WORD // int(size) ** 2)
             for i in range(0, len(rows), at_once):
                 part = rows[i : i + at_once]
-                if size > 1 << 16:
-                    out[part[0]] = self.long_word(words[part[0]])
+                if size > ARRAYS:
+                    for k in part:
+                        out[k] = self.long_word(words[k], None if weights is None else (counts, of_bytes, float(weights[k])))
                     continue
                 text = "".join(words[k] for k in part)
                 chars = np.full((len(part), size + 1), BEGIN, np.int64)
@@ -169,23 +172,65 @@ class Lattice:
                     of_bytes += got[2]
         return out if weights is None else (out, counts, of_bytes)
 
-    def long_word(self, word: str) -> float:
-        """The forward recursion of one word of any length, with as much memory as the longest piece."""
+    def long_word(self, word: str, learn: tuple[np.ndarray, np.ndarray, float] | None = None) -> float:
+        """The forward recursion of one word of any length, with as much memory as the longest piece.
+
+        learn: counts of pieces, of bytes, and a weight, by which what the word adds to expected counts is added there. The way back
+        then takes the blocks from the last one on, and works out each block's way there again from what was kept at its begin.
+        """
         if not hasattr(self, "by_points"):
-            self.by_points = {p: float(s) for p, s in zip(self.p.points, self.scores)}
-        chars = (BEGIN, *map(ord, word))
-        last = [0.0]
-        for j in range(1, len(chars) + 1):
-            ways = []
-            for k in range(1, min(j, self.p.longest) + 1):
-                s = self.by_points.get(chars[j - k : j])
-                if s is None and k == 1 and chars[j - 1] < BEGIN:
-                    s = sum(self.bytes[x] for x in chr(chars[j - 1]).encode("utf-8", "surrogatepass"))
-                if s is not None:
-                    ways.append(last[-k] + s)
-            top = max(ways, default=NONE)
-            last = (last + [top + float(np.log(sum(np.exp(w - top) for w in ways))) if ways else NONE])[-self.p.longest :]
-        return last[-1]
+            self.by_points = {p: (i, float(s)) for i, (p, s) in enumerate(zip(self.p.points, self.scores))}
+        n, longest = len(word) + 1, self.p.longest
+
+        def points(lo: int, hi: int) -> list[int]:
+            return ([BEGIN] if lo == 0 else []) + list(map(ord, word[max(0, lo - 1) : hi - 1]))
+
+        def ending(chars: list[int], j: int) -> list[tuple[int, int, float]]:
+            """(length, piece or -1 for bytes, score) of the arcs that end before chars[j]."""
+            out = []
+            for k in range(1, min(j, longest) + 1):
+                piece, s = self.by_points.get(tuple(chars[j - k : j]), (None, 0.0))
+                if piece is not None:
+                    out.append((k, piece, s))
+                elif k == 1 and chars[j - 1] < BEGIN:
+                    out.append((1, -1, sum(self.bytes[x] for x in chr(chars[j - 1]).encode("utf-8", "surrogatepass"))))
+            return out
+
+        def forward(lo: int, hi: int, last: list[float]) -> list[float]:
+            """last: alphas of the places up to lo; returns these and those up to hi."""
+            first = max(0, lo - longest + 1)
+            chars, out = points(first, hi), list(last)
+            for j in range(lo + 1, hi + 1):
+                ways = [out[-k] + s for k, _, s in ending(chars, j - first)]
+                top = max(ways, default=NONE)
+                out.append(top + float(np.log(sum(np.exp(w - top) for w in ways))) if top > NONE else NONE)
+            return out
+
+        kept, last = [], [0.0]
+        for lo in range(0, n, BLOCK):
+            if learn:
+                kept.append(last)
+            last = forward(lo, min(n, lo + BLOCK), last)[-longest:]
+        total = last[-1]
+        if learn and total > NONE:
+            counts, of_bytes, weight = learn
+            beta = {n: 0.0}
+            for lo in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+                hi, tail = min(n, lo + BLOCK), kept.pop()
+                alpha, first = forward(lo, hi, tail), max(0, lo - longest + 1)
+                chars, at = points(first, hi), lo - len(tail) + 1  # alpha[0] stands at that place
+                for j in range(hi, lo, -1):
+                    then = beta.pop(j, NONE)
+                    for k, piece, s in ending(chars, j - first) if then > NONE else ():
+                        i = j - k
+                        beta[i] = float(np.logaddexp(beta.get(i, NONE), s + then))
+                        w = weight * float(np.exp(alpha[i - at] + s + then - total))
+                        if piece >= 0:
+                            counts[piece] += w
+                        else:
+                            for y in chr(chars[i - first]).encode("utf-8", "surrogatepass"):
+                                of_bytes[y] += w
+        return float(total)
 
 
 def _logsum(ways: list[np.ndarray]) -> np.ndarray:
@@ -216,11 +261,11 @@ def first_scores(pieces: Pieces, names: list[str], scores: np.ndarray) -> np.nda
     return np.log(p / p.sum())
 
 
-def normalised(pieces: np.ndarray, of_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities from counts: pieces and bytes share one distribution."""
-    pieces, of_bytes = pieces + SMOOTHING, of_bytes + SMOOTHING
-    total = pieces.sum() + of_bytes.sum()
-    return np.log(pieces / total), np.log(of_bytes / total)
+def normalised(pieces: np.ndarray, of_bytes: np.ndarray, ends: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log probabilities from counts: pieces, bytes and the end share one distribution."""
+    pieces, of_bytes, ends = pieces + SMOOTHING, of_bytes + SMOOTHING, ends + SMOOTHING
+    total = pieces.sum() + of_bytes.sum() + ends
+    return np.log(pieces / total), np.log(of_bytes / total), float(np.log(ends / total))
 
 
 def log_rising(log_a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -242,7 +287,7 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def gathered(docs: DataFrame, folds: int, fold: int) -> DataFrame:
+def gathered(docs: DataFrame) -> DataFrame:
     """Documents in chunks, each with its distinct words: a row a chunk.
 
     words and train[] (how often the chunk's training documents have each), docs (ids, fold, and word numbers with counts).
@@ -296,7 +341,8 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
     """Log10 probabilities of all whole texts, learned from those whose id isn't held out (CRC-32 of the id as text, mod folds, is fold).
 
     Returns id_col, held_out, n_tokens (words and an end), n_known (of these with a count in training), train_tokens,
-    base_score (word unigrams with add-half smoothing) and score (the lattice model, over the text's counts as an urn). A null text counts as empty: one token,
+    base_score (word unigrams with add-half smoothing), score (the marginal over all segmentations) and urn_score (pieces mixed with
+    the training words' counts, over the text's counts as an urn). A null text counts as empty: one token,
     the end. A row without an id isn't held out and teaches nothing. Repeated rows count each. Without training
     documents all counts are 0 and the model keeps its first scores. Other columns are left out, an empty table gives an empty one.
     The driver gets a number for each piece of the vocabulary, and nothing that grows with the corpus.
@@ -306,21 +352,19 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
     source = docs.select(exact(id_col).alias("id"), held.alias("held"), (~held & exact(id_col).isNotNull()).alias("teaches"), exact(text_col).alias("text"))
     names, ranks = vocabulary(shipped(spark, path).value)
     pieces = Pieces(names)
-    chunks = cut(gathered(source, folds, fold))
+    chunks = cut(gathered(source))
     ends = source.where("teaches").count()
-    # Every distinct word of every chunk, with its count over all chunks; the first of each word stands for it.
+    # Every distinct word of every chunk; counts are added up in part before the words are sent, so a frequent word is a few rows in its task.
     flat = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("k", "w")).select("chunk", "k", F.col("w.words").alias("word"), F.col("w.train").alias("c"))
-    by_word = Window.partitionBy("word")
-    flat = flat.select("chunk", "k", "word", F.sum("c").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
-    flat = cut(flat)
-    total = flat.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    distinct = cut(flat.groupBy("word").agg(F.sum("c").alias("c")))
+    total = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     n_all, v_all = total[0] + ends, total[1] + (ends > 0)
     # The share of what pieces spell; without training texts that is all but the end.
     spelled = (total[2] + 0.5) / (n_all + 1) if total[0] else 1 - 1e-3
     log_spelled, log_known = float(np.log(spelled)), float(np.log1p(-spelled) - np.log(max(1, n_all)))
-    end_score = log_known + float(np.log(max(1, ends)))
+    urn_end = log_known + float(np.log(max(1, ends)))
 
-    table, byte_scores = first_scores(pieces, names, ranks), np.full(256, np.log(1e-6))
+    table, byte_scores, end_score = first_scores(pieces, names, ranks), np.full(256, np.log(1e-6)), float(np.log(1e-3))
     for _ in range(rounds if total[0] else 0):
         model = spark.sparkContext.broadcast((pieces, table, byte_scores))
 
@@ -330,8 +374,7 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
             for batch in batches:
                 words = batch.column(0).to_pylist()
                 if words:
-                    # Each distinct word once: the pieces are for words that weren't seen, which frequent ones don't resemble more.
-                    _, x, y = lattice.words(words, np.ones(len(words)))
+                    _, x, y = lattice.words(words, batch.column(1).to_numpy().astype(float))
                     counts += x
                     of_bytes += y
             both = np.concatenate((counts, of_bytes))
@@ -339,35 +382,27 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[some])], ["k", "n"])
 
         # Sums in decimals don't depend on the order in which tasks end.
-        got = flat.where("first and c > 0").select("word").mapInArrow(expected, "k int, n double").groupBy("k").agg(F.sum(F.col("n").cast("decimal(30,9)")).cast("double").alias("n")).toPandas()
+        got = distinct.where("c > 0").select("word", "c").mapInArrow(expected, "k int, n double").groupBy("k").agg(F.sum(F.col("n").cast("decimal(38,9)")).cast("double").alias("n")).toPandas()
         both = np.zeros(pieces.n + 256)
         both[got["k"].to_numpy()] = got["n"].to_numpy()
-        table, byte_scores = normalised(both[: pieces.n], both[pieces.n :])
+        table, byte_scores, end_score = normalised(both[: pieces.n], both[pieces.n :], ends)
     model = spark.sparkContext.broadcast((pieces, table, byte_scores))
 
     def scored(batches):
-        lattice, last = Lattice(*model.value), (None, 0.0)
+        lattice = Lattice(*model.value)
         for batch in batches:
-            # Rows of a word follow one another, as the window left them: each run's word is worked out once.
-            words = batch.column(2).to_pylist()
-            starts = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last[0])]
-            runs = np.zeros(len(words), np.int64)
-            runs[starts] = 1
-            got = np.concatenate(([last[1]], lattice.words([words[i] for i in starts])))[np.cumsum(runs)]
-            if words:
-                last = words[-1], float(got[-1])
-            c = batch.column(3).to_numpy()
-            got = np.logaddexp(log_spelled + got, np.where(c > 0, log_known + np.log(np.maximum(c, 1)), NONE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(got, pa.float64())], ["chunk", "k", "c", "s"])
-
-    values = flat.select("chunk", "k", "word", "c").mapInArrow(scored, "chunk string, k int, c long, s double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice.words(batch.column(0).to_pylist()), pa.float64())], ["word", "c", "s"])
+
+    # A row a word against a row a word and chunk, which AQE may split where a word is in very many.
+    values = flat.drop("c").join(cut(distinct.mapInArrow(scored, "word string, c long, s double")), "word").select("chunk", "k", "c", "s")
 
     def text_scores(left, right):
-        names_ = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        names_ = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "urn_score"]
         k = right.column("k").to_numpy()
         c, s = np.zeros(len(k), np.int64), np.zeros(len(k))
         c[k], s[k] = right.column("c").to_numpy(), right.column("s").to_numpy()
         base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
+        word = np.logaddexp(log_spelled + s, np.where(c > 0, log_known + np.log(np.maximum(c, 1)), NONE))
         base_end = np.log10((ends + 0.5) / (n_all + 0.5 * (v_all + 1)))
         parts = []
         for row in range(left.num_rows):
@@ -379,13 +414,13 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
             start = np.concatenate(([0], stop[:-1]))
             exactly = lambda x: np.array([x[a:b].sum() for a, b in zip(start, stop)])  # noqa: B023, E731
             put_in = np.log(concentration)
-            drawn = exactly(log_rising(put_in + s[at], n)) + put_in + end_score - log_rising(np.full(len(size), put_in), size)
-            parts.append(pa.table([get("ids"), get("held"), pa.array(size), pa.array((sums(n * (c[at] > 0)) + (ends > 0)).astype(np.int64)), pa.array(np.full(len(size), n_all, np.int64)), pa.array(exactly(n * base[at]) + base_end), pa.array(drawn / np.log(10))], names_))
+            drawn = exactly(log_rising(put_in + word[at], n)) + put_in + urn_end - log_rising(np.full(len(size), put_in), size)
+            parts.append(pa.table([get("ids"), get("held"), pa.array(size), pa.array((sums(n * (c[at] > 0)) + (ends > 0)).astype(np.int64)), pa.array(np.full(len(size), n_all, np.int64)), pa.array(exactly(n * base[at]) + base_end), pa.array((exactly(n * s[at]) + end_score) / np.log(10)), pa.array(drawn / np.log(10))], names_))
         return pa.concat_tables(parts)
 
     quoted = "`" + id_col.replace("`", "``") + "`"
     kind = docs.schema[id_col].dataType.simpleString()
     # A chunk without a word has no values, but its documents have an end.
     own = chunks.select("chunk", "ids", "held", "sizes", "at", "n", "ends")
-    return own.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(text_scores, f"{quoted} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(text_scores, f"{quoted} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, urn_score double")
 
