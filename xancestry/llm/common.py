@@ -73,6 +73,17 @@ def deleted(*tables: DataFrame | None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which still reads these tables of cut(): to be released() once it has been written."""
+    df.cut_tables = [*getattr(df, "cut_tables", []), *tables]
+    return df
+
+
+def released(df: DataFrame) -> None:
+    """Deletes what df read, now that it has been written."""
+    deleted(*getattr(df, "cut_tables", []))
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(u long, v long) links -> (node long, component long), component the smallest node reachable.
 
