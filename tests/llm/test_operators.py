@@ -641,13 +641,13 @@ def test_text_scores_by_enumeration(spark, rounds):
         assert math.isclose(got[k], want, rel_tol=1e-7), (k, got[k], want)
 
 
-def test_text_scores_of_long_words(spark, monkeypatch):
-    rows = [(i, t) for i, t in enumerate(["x" * 70_000 + " a", "the cat", "xx xxx", "y" * 66_000])]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lattice_lm.score(d, P.path(queries.PIECE_FILE), rounds=1).collect()}
-    without = {r["doc_id"]: r["score"] for r in lattice_lm.score(d.where("doc_id <> 3 and doc_id <> 0").union(spark.createDataFrame([(0, "a"), (3, "")], "doc_id long, text string")), P.path(queries.PIECE_FILE), rounds=1).collect()}
-    assert all(math.isfinite(x) and x < 0 for x in got.values()) and got[0] < -1000
-    assert got[2] / without[2] < 0.9, "what a long word is made of has become likely"
+def test_text_scores_of_long_words(spark):
+    """A word over the arrays' length is scored and teaches."""
+    path, d = P.path(queries.PIECE_FILE), [(0, "x" * 66_000 + " a"), (1, "the cat"), (2, "xx xxx")]
+    of = lambda rows: {r["doc_id"]: r["score"] for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), path, rounds=1).collect()}
+    assert zlib.crc32(b"0") % 5 != 1
+    got, without = of(d), of([(0, "a"), *d[1:]])
+    assert math.isfinite(got[0]) and got[0] < -1000 and got[2] > without[2], "what a long word is made of has become likelier"
 
 
 @pytest.mark.parametrize("chunk", [1 << 23, 5000])

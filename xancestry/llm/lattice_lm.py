@@ -355,7 +355,7 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
     chunks = cut(gathered(source))
     ends = source.where("teaches").count()
     # Every distinct word of every chunk; counts are added up in part before the words are sent, so a frequent word is a few rows in its task.
-    flat = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("k", "w")).select("chunk", "k", F.col("w.words").alias("word"), F.col("w.train").alias("c"))
+    flat = chunks.select(F.col("chunk").alias("chunk"), F.posexplode(F.arrays_zip("words", "train")).alias("k", "w")).select("chunk", "k", F.col("w.words").alias("word"), F.col("w.train").alias("c"))
     distinct = cut(flat.groupBy("word").agg(F.sum("c").alias("c")))
     total = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     n_all, v_all = total[0] + ends, total[1] + (ends > 0)
