@@ -296,13 +296,13 @@ def gathered(docs: DataFrame) -> DataFrame:
     import uuid
 
     def run(batches):
-        schema = pa.schema([("chunk", pa.string()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))])
+        schema = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))])
 
         def closed():
             words = pa.array([w.decode("utf-8", "replace") for w in number])
             one = lambda x, t=None: pa.array([x], t) if t else pa.ListArray.from_arrays([0, len(x)], x)
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), one(words), one(pa.array(train[: len(number)])), one(pa.array(ids, id_type)), one(pa.array(held)), one(pa.array(sizes, pa.int64())),
+                [pa.array([uuid.uuid4().int >> 65]), one(words), one(pa.array(train[: len(number)])), one(pa.array(ids, id_type)), one(pa.array(held)), one(pa.array(sizes, pa.int64())),
                  one(pa.array(np.concatenate(at) if at else np.zeros(0, np.int32))), one(pa.array(np.concatenate(n) if n else np.zeros(0, np.int32))), one(pa.array(np.cumsum([len(x) for x in at]).astype(np.int64)))],
                 schema=schema,
             )
@@ -334,7 +334,7 @@ def gathered(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["id"].dataType
     id_type = to_arrow_type(kind)
-    return docs.select("id", "held", "teaches", "text").mapInArrow(run, f"chunk string, words array<string>, train array<long>, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<long>, at array<int>, n array<int>, ends array<long>")
+    return docs.select("id", "held", "teaches", "text").mapInArrow(run, f"chunk long, words array<string>, train array<long>, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<long>, at array<int>, n array<int>, ends array<long>")
 
 
 def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", concentration: float = CONCENTRATION) -> DataFrame:
