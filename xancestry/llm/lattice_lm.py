@@ -17,6 +17,8 @@ size of the distribution, so that a word costs less each time that the text repe
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -283,6 +285,15 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 byte by byte, compressed: most of their bytes are 0."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
@@ -290,20 +301,20 @@ def tokens(text: str | None) -> list[bytes]:
 def gathered(docs: DataFrame) -> DataFrame:
     """Documents in chunks, each with its distinct words: a row a chunk.
 
-    words and train[] (how often the chunk's training documents have each), docs (ids, fold, and word numbers with counts).
+    words and train[] (how often the chunk's training documents have each), docs (ids, fold, and packed the steps from one of its word numbers to the next, with counts).
     Chunks follow the partitions of the input and are closed at CHUNK_CHARS.
     """
     import uuid
 
     def run(batches):
-        schema = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))])
+        schema = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("at", pa.binary()), ("n", pa.binary()), ("ends", pa.list_(pa.int64()))])
 
         def closed():
             words = pa.array([w.decode("utf-8", "replace") for w in number])
             one = lambda x, t=None: pa.array([x], t) if t else pa.ListArray.from_arrays([0, len(x)], x)
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]), one(words), one(pa.array(train[: len(number)])), one(pa.array(ids, id_type)), one(pa.array(held)), one(pa.array(sizes, pa.int64())),
-                 one(pa.array(np.concatenate(at) if at else np.zeros(0, np.int32))), one(pa.array(np.concatenate(n) if n else np.zeros(0, np.int32))), one(pa.array(np.cumsum([len(x) for x in at]).astype(np.int64)))],
+                 pa.array([packed(np.concatenate(at))], pa.binary()), pa.array([packed(np.concatenate(n))], pa.binary()), one(pa.array(np.cumsum([len(x) for x in at]).astype(np.int64)))],
                 schema=schema,
             )
 
@@ -321,8 +332,8 @@ def gathered(docs: DataFrame) -> DataFrame:
                 ids.append(id_)
                 held.append(is_held)
                 sizes.append(len(found))
-                at.append(own.astype(np.int32))
-                n.append(times.astype(np.int32))
+                at.append(np.diff(own, prepend=0))
+                n.append(times)
                 chars += sum(map(len, found)) + len(found) + 16
                 if chars >= CHUNK_CHARS:
                     yield closed()
@@ -334,7 +345,7 @@ def gathered(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["id"].dataType
     id_type = to_arrow_type(kind)
-    return docs.select("id", "held", "teaches", "text").mapInArrow(run, f"chunk long, words array<string>, train array<long>, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<long>, at array<int>, n array<int>, ends array<long>")
+    return docs.select("id", "held", "teaches", "text").mapInArrow(run, f"chunk long, words array<string>, train array<long>, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<long>, at binary, n binary, ends array<long>")
 
 
 def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", concentration: float = CONCENTRATION) -> DataFrame:
@@ -407,11 +418,13 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, folds: int = 5, fold
         parts = []
         for row in range(left.num_rows):
             get = lambda name: left.column(name)[row].values  # noqa: B023, E731
-            at, n, stop = get("at").to_numpy(), get("n").to_numpy().astype(np.int64), get("ends").to_numpy()
+            steps, n, stop = unpacked(left.column("at")[row].as_py()), unpacked(left.column("n")[row].as_py()), get("ends").to_numpy()
             sums = lambda x: np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(x)))[stop])))  # noqa: B023, E731
             size = get("sizes").to_numpy() + 1
             # Each text's own sum, so that what it is doesn't hang on its neighbours in the chunk.
             start = np.concatenate(([0], stop[:-1]))
+            run = np.concatenate(([0], np.cumsum(steps)))
+            at = run[1:] - np.repeat(run[start], stop - start)
             exactly = lambda x: np.array([x[a:b].sum() for a, b in zip(start, stop)])  # noqa: B023, E731
             put_in = np.log(concentration)
             drawn = exactly(log_rising(put_in + word[at], n)) + put_in + urn_end - log_rising(np.full(len(size), put_in), size)
