@@ -259,10 +259,21 @@ def test_command_line(spark, tmp_path):
     assert res["CHR"].is_monotonic_increasing
     coef = [float((tmp_path / f"out_{k}_reg.cf").read_text()) for k in ("int", "se2")]
     assert np.isclose(*coef), "a constant SE shares its weight with the intercept"
-    assert len(pd.read_csv(f"{out}_E_T.hrm", sep="\t")) == m
+    hrm = pd.read_csv(f"{out}_E_T.hrm", sep="\t")
+    assert list(hrm.columns) == ["SNP", "CHR", "BP", "A1", "A2", "N", "FREQ", "BETA", "SE", "P"] and len(hrm) == m and (hrm["P"] == 0.5).all()
     assert cli.main(["meta", "--sumstats", f"{tmp_path}/none.txt,E,T", "--ld-scores", f"{tmp_path}/*.ldscore", "--out", str(out)]) == 1
 
 
+def test_output_prefix(tmp_path):
+    from xancestry.plans import sinks
+
+    (tmp_path / "taken").write_text("")
+    for path in (tmp_path / "taken", tmp_path, tmp_path / "none" / "x"):
+        with pytest.raises(ValueError):
+            sinks.output_prefix(str(path))
+    assert sinks.output_prefix(f" {tmp_path}/free ") == f"{tmp_path}/free"
+
+
 def test_entry_registers_sql_for_known_queries():
     import __spark_entry__ as e
 

@@ -119,7 +119,7 @@ def run_meta(spark: SparkSession, a: argparse.Namespace, log) -> None:
     for i, ((x, y), t) in enumerate(r.tables.items()):
         sinks.write_results(t, f"{a.out}_{x}_{y}.res")
         if a.out_harmonized:
-            sinks.write_harmonised(r.harmonised, i, r.has_n[i], f"{a.out}_{x}_{y}.hrm")
+            sinks.write_harmonised(r.harmonised, i, r.has_n[i], f"{a.out}_{x}_{y}.hrm", "INFO" in r.checks[x, y].passed.columns)
     if a.out_reg_coef:
         for name, m in zip(("ld", "int", "se2"), r.coefficients):
             sinks.write_coefficients(m, f"{a.out}_{name}_reg.cf")

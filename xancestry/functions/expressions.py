@@ -35,15 +35,6 @@ def z_score(beta: Column, se: Column) -> Column:
     return beta / se
 
 
-def reciprocal(x: Column) -> Column:
-    """1 / x where x is above zero, else 0: the weight of a variant in its own regression."""
-    return F.when(x > 0, 1 / x).otherwise(F.lit(0.0))
-
-
-def abs_reciprocal(x: Column) -> Column:
-    return F.when(x != 0, F.abs(1 / x)).otherwise(F.lit(0.0))
-
-
 def unit_scale(freq: Column) -> Column:
     """Standard deviation of a genotype of this frequency."""
     return F.sqrt(2 * freq * (1 - freq))

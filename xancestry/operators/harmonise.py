@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import same_alleles, swapped_alleles
 
 #: What a population's statistics are kept as.
-FIELDS = ("CHR", "BP", "A1", "A2", "FREQ", "BETA", "SE", "N")
+FIELDS = ("CHR", "BP", "A1", "A2", "FREQ", "BETA", "SE", "N", "P", "INFO")
 #: Allow-lists up to this number of ids are broadcast.
 SMALL_LIST = 1_000_000
 
@@ -47,7 +47,7 @@ def flipped(p, swap):
     """A population's statistics with the alleles the other way round where swap holds."""
     put = {
         "CHR": p["CHR"], "BP": p["BP"], "A1": F.when(swap, p["A2"]).otherwise(p["A1"]), "A2": F.when(swap, p["A1"]).otherwise(p["A2"]),
-        "FREQ": F.when(swap, 1 - p["FREQ"]).otherwise(p["FREQ"]), "BETA": F.when(swap, -p["BETA"]).otherwise(p["BETA"]), "SE": p["SE"], "N": p["N"],
+        "FREQ": F.when(swap, 1 - p["FREQ"]).otherwise(p["FREQ"]), "BETA": F.when(swap, -p["BETA"]).otherwise(p["BETA"]), "SE": p["SE"], "N": p["N"], "P": p["P"], "INFO": p["INFO"],
     }
     return F.struct(*(c.alias(k) for k, c in put.items()))
 

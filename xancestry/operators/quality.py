@@ -100,7 +100,7 @@ def run_filters(df: DataFrame, required: dict[str, tuple[Filter, str]], optional
 def first_of_each(df: DataFrame, order: str = "place") -> tuple[DataFrame, DataFrame]:
     """Rows that come first of their SNP in file order, and the duplicates that go.
 
-    Ids are told apart by a minimum with partial results before the shuffle; rows are sent once.
+    One window by SNP, which sends and sorts each row once: a variant has few copies.
     """
     n = F.row_number().over(Window.partitionBy("SNP").orderBy(order))
     numbered = df.withColumn("copy_", n)

@@ -30,8 +30,9 @@ def write_results(df: DataFrame, path: str) -> None:
     _single(df.orderBy("CHR", "BP", "SNP"), path, sep="\t", header="true", nullValue="NaN", emptyValue="")
 
 
-def write_harmonised(h: DataFrame, i: int, has_n: bool, path: str) -> None:
-    fields = ["CHR", "BP", "A1", "A2", *(["N"] if has_n else []), "FREQ", "BETA", "SE"]
+def write_harmonised(h: DataFrame, i: int, has_n: bool, path: str, has_info: bool = False) -> None:
+    """All standard columns that the population has."""
+    fields = ["CHR", "BP", "A1", "A2", *(["N"] if has_n else []), "FREQ", "BETA", "SE", "P", *(["INFO"] if has_info else [])]
     _single(h.select("SNP", *(F.col(f"p{i}.{c}").alias(c) for c in fields)).orderBy("SNP"), path, sep="\t", header="true", nullValue="NaN", emptyValue="")
 
 
@@ -71,6 +72,9 @@ def logger(path: str | None, level: int = logging.INFO) -> logging.Logger:
 
 
 def output_prefix(path: str) -> str:
+    path = path.strip()
+    if os.path.exists(path):
+        raise ValueError(f"{path} is there already, as a file or folder")
     folder = os.path.dirname(path) or "."
     if not os.path.isdir(folder):
         raise ValueError(f"no folder {folder}")
