@@ -258,7 +258,8 @@ def first_scores(pieces: Pieces, names: list[str], scores: np.ndarray) -> np.nda
     for p, s in zip(names, scores):
         at = p.startswith("▁")
         of.setdefault((*([BEGIN] if at else []), *map(ord, p[at:])), float(s))
-    s = np.array([of.get(p, min(of.values(), default=0.0)) for p in pieces.points])
+    least = min(of.values(), default=0.0)
+    s = np.array([of.get(p, least) for p in pieces.points])
     p = 1 / (10 + s.max() - s)
     return np.log(p / p.sum())
 
