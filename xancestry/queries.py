@@ -18,6 +18,9 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Coefficients for queries of the estimator, where fitted ones could be negative.
 LD_COEF, SE2_COEF, CONST = np.array([[0.02, 0.012], [0.012, 0.03]]), np.array([[1.1, 0.0], [0.0, 1.2]]), np.array([[0.01, 0.002], [0.002, 0.02]])
+#: With these no variant's matrix needs a tweak, whose rounding SQL can't follow; omega_psd_tweak and gls_p5_tweaked have those that do.
+MILD_COEF = np.array([[0.02, 0.003], [0.003, 0.03]])
+MILD5, SE2_5, CONST5 = 0.0008 + 0.0192 * np.eye(5), 1.1 * np.eye(5), 0.002 + 0.01 * np.eye(5)
 
 
 def query(sql: str | None = None):
@@ -269,25 +272,35 @@ def ldreg_se2_zero(spark, sf):
     return _coefs(spark, sf, 0, 1, se2=regression.OFF_ZERO)
 
 
-@query()
+def _cramer_ld(m):
+    a = [["ll", "lc", "ls"], ["lc", "cc", "cs"], ["ls", "cs", "ss_"]]
+    return f"{_det([['ly', 'lc', 'ls'], ['cy', 'cc', 'cs'], ['sy', 'cs', 'ss_']])} / {_det(a)}"
+
+
+_SET = f"""{H2}, {_moments('d')}, {_moments('e')}, {_moments('o')}, d AS (SELECT {_cramer_ld('md')} AS d0 FROM md), e AS (SELECT {_cramer_ld('me')} AS d1 FROM me),
+f AS (SELECT mo.*, CASE WHEN d0 * d1 >= 0 THEN 0.5 * sqrt(greatest(d0 * d1, 0)) ELSE {_cramer_ld('mo')} END AS v FROM mo, d, e)"""
+
+
+@query(f"{_SET} SELECT round(v, 4) AS ld, round(((cy - v * lc) * ss_ - (sy - v * ls) * cs) / (cc * ss_ - cs * cs), 4) AS intercept, round(((sy - v * ls) * cc - (cy - v * lc) * cs) / (cc * ss_ - cs * cs), 4) AS se2 FROM f")
 def ldreg_set_corr(spark, sf):
     return _coefs(spark, sf, 0, 1, ld=regression.SET_CORR, correlation=0.5)
 
 
 # Matrices and the estimator
 
-_om = [[f"{float(LD_COEF[i, j])!r}::DOUBLE * R{min(i, j)}_R{max(i, j)}" for j in (0, 1)] for i in (0, 1)]
-_si = [[f"(s{i} * s{j} * {float(SE2_COEF[i, j])!r}::DOUBLE + {float(CONST[i, j])!r}::DOUBLE)" for j in (0, 1)] for i in (0, 1)]
-MATS = f"{H2}, x AS (SELECT *, {', '.join(f'{_om[i][j]} AS o{i}{j}, {_si[i][j]} AS g{i}{j}' for i in (0, 1) for j in (0, 1))} FROM h)"
+def _mats_sql(wide, ld_coef, se2, const):
+    n = len(const)
+    om = lambda i, j: f"{float(ld_coef[i, j])!r}::DOUBLE * R{min(i, j)}_R{max(i, j)} AS o{i}{j}"
+    si = lambda i, j: f"s{i} * s{j} * {float(se2[i, j])!r}::DOUBLE + {float(const[i, j])!r}::DOUBLE AS g{i}{j}"
+    return f"{wide}, x AS (SELECT *, {', '.join(f'{om(i, j)}, {si(i, j)}' for i in range(n) for j in range(n))} FROM h)"
+
 
+MATS, MILD, MATS5 = _mats_sql(H2, LD_COEF, SE2_COEF, CONST), _mats_sql(H2, MILD_COEF, SE2_COEF, CONST), _mats_sql(H5, MILD5, SE2_5, CONST5)
 
-def _matrices(spark, sf, n=2):
-    c = _collated(spark, sf, n)
-    if n == 2:
-        coef = LD_COEF, SE2_COEF, CONST
-    else:
-        coef = (np.full((n, n), 0.01) + 0.01 * np.eye(n), 1.1 * np.eye(n), np.full((n, n), 0.002) + 0.01 * np.eye(n))
-    return c.withColumns({"omega": gls.omega(F.col("ld"), coef[0]), "sigma": gls.sigma(F.col("se"), coef[1], coef[2])})
+
+def _matrices(spark, sf, ld_coef=LD_COEF, se2=SE2_COEF, const=CONST):
+    c = _collated(spark, sf, len(const))
+    return c.withColumns({"omega": gls.omega(F.col("ld"), ld_coef), "sigma": gls.sigma(F.col("se"), se2, const)})
 
 
 def _flat(c, n=2, name="x"):
@@ -338,15 +351,32 @@ def _gls_sql(p):
     return f"round(({form(['b0', 'b1'])}) / ({form(w)}), 6) AS beta{p}, round(1 / sqrt({form(w)}), 6) AS se{p}"
 
 
-@query(f"{MATS} SELECT SNP, {_gls_sql(0)}, {_gls_sql(1)} FROM x WHERE o00 * o11 - o01 * o10 > 1e-12 AND g00 > 0 AND g00 * g11 - g01 * g10 > 0")
+@query(f"{MILD} SELECT SNP, {_gls_sql(0)}, {_gls_sql(1)} FROM x WHERE g00 > 0 AND g00 * g11 - g01 * g10 > 0")
 def gls_p2(spark, sf):
-    m = gls.gls(_matrices(spark, sf), 2).where((F.col("omega")[0] * F.col("omega")[3] - F.col("omega")[1] * F.col("omega")[2] > 1e-12) & F.col("si_ok"))
+    m = gls.gls(_matrices(spark, sf, MILD_COEF), 2).where("om_ok and si_ok")
     return m.select("SNP", *(F.round(F.col(f"new_{c}")[p], 6).alias(f"{c}{p}") for p in (0, 1) for c in ("beta", "se")))
 
 
-@query()
+def _eliminated(n):
+    """SQL from x: a row a variant and population, with t = w' C^-1 b and u = w' C^-1 w, by elimination of the bordered matrix [C w b; w' 0 0]."""
+    cell = lambda i, j, p: (f"o{i}{j} - o{i}{p} * o{p}{j} / o{p}{p} + g{i}{j}" if i < n and j < n else f"o{min(i, j)}{p} / o{p}{p}" if min(i, j) < n and max(i, j) == n else f"b{i}" if i < n else "0.0::DOUBLE")
+    cells = [(i, j) for i in range(n + 1) for j in range(n + 2)]
+    out = ["a0 AS (" + " UNION ALL ".join(f"SELECT SNP, {p} AS p, {', '.join(f'{cell(i, j, p)} AS m{i}_{j}' for i, j in cells)} FROM x" for p in range(n)) + ")"]
+    for k in range(n):
+        out.append(f"a{k + 1} AS (SELECT SNP, p, {', '.join(f'm{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}' for i, j in cells if i > k and j > k)} FROM a{k})")
+    return ", ".join(out) + f", est AS (SELECT SNP, p, -m{n}_{n + 1} AS t, -m{n}_{n} AS u FROM a{n})"
+
+
+@query(f"{MATS5}, {_eliminated(5)} SELECT SNP, {', '.join(f'round(max(t / u) FILTER (WHERE p = {p}), 6) AS beta{p}, round(max(1 / sqrt(u)) FILTER (WHERE p = {p}), 6) AS se{p}' for p in range(5))} FROM est GROUP BY SNP")
 def gls_p5(spark, sf):
-    m = gls.gls(_matrices(spark, sf, 5), 5).where("om_ok and si_ok")
+    m = gls.gls(_matrices(spark, sf, MILD5, SE2_5, CONST5), 5).where("om_ok and si_ok")
+    return m.select("SNP", *(F.round(F.col(f"new_{c}")[p], 6).alias(f"{c}{p}") for p in range(5) for c in ("beta", "se")))
+
+
+@query()
+def gls_p5_tweaked(spark, sf):
+    """As gls_p5, with coefficients under which many matrices have to be tweaked."""
+    m = gls.gls(_matrices(spark, sf, 0.01 + 0.01 * np.eye(5), SE2_5, CONST5), 5).where("om_ok and si_ok")
     return m.select("SNP", *(F.round(F.col(f"new_{c}")[p], 6).alias(f"{c}{p}") for p in range(5) for c in ("beta", "se")))
 
 
@@ -368,15 +398,45 @@ def mean_chi_sq(spark, sf):
     return _harmonised(spark, sf, 1).agg(F.round(meta.mean_chi_squared(F.col("p0.BETA") / F.col("p0.SE")), 6).alias("mean_chi_sq"))
 
 
-@query(f"{MATS} SELECT k, round(avg(v), 6) AS x FROM (SELECT unnest([0, 1, 2, 3]) AS k, unnest([o00, o01, o10, o11]) AS v FROM x) GROUP BY k")
+def _mean(m):
+    return [(i, j, round(float(m[i, j]), 6)) for i in range(len(m)) for j in range(len(m))]
+
+
+_mean_sql = lambda c: " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(avg({c}{i}{j}), 6) AS x FROM x" for i in (0, 1) for j in (0, 1))
+
+
+@query(f"{MILD} {_mean_sql('o')}")
 def mean_omega(spark, sf):
-    return _matrices(spark, sf).select(F.posexplode("omega").alias("k", "v")).groupBy("k").agg(F.round(F.avg("v"), 6).alias("x"))
+    return spark.createDataFrame(_mean(meta.mean_matrix(gls.gls(_matrices(spark, sf, MILD_COEF), 2), "om")), "i int, j int, x double")
 
 
-@query()
+@query(f"{MILD} {_mean_sql('g')}")
+def mean_sigma(spark, sf):
+    return spark.createDataFrame(_mean(meta.mean_matrix(_matrices(spark, sf, MILD_COEF), "sigma")), "i int, j int, x double")
+
+
+def _log10_tail_sql(z):
+    """Two-sided normal tail: the series of erf up to 4, beyond it the continued fraction of erfc."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    steps = "[1.0::DOUBLE] || list_transform(range(100, 0, -1), lambda k: k::DOUBLE)"
+    series = f"list_reduce({steps}, lambda s, k: 1 + s * 2 * {x} * {x} / (2 * k + 1))"
+    fraction = f"list_reduce({steps}, lambda s, k: 1 + k / (2 * {x} * {x}) / s)"
+    near = f"log10(1 - 2 * {x} * exp(-{x} * {x}) / sqrt(pi()) * {series})"
+    far = f"-{x} * {x} / ln(10.0::DOUBLE) - log10({x} * sqrt(pi())) - log10({fraction})"
+    return f"CASE WHEN {z} = 0 THEN 0 WHEN abs({z}) < 4 THEN {near} ELSE {far} END"
+
+
+def _p_columns(p):
+    return F.round(F.split(p, "e")[0].cast("double"), 4).alias("mantissa"), F.split(p, "e")[1].cast("long").alias("exponent")
+
+
+_P_SQL = "CASE WHEN lp = 0 THEN 1.0::DOUBLE ELSE round(power(10.0::DOUBLE, lp - ceil(lp) + 1), 4) END AS mantissa, CASE WHEN lp = 0 THEN 0 ELSE ceil(lp)::BIGINT - 1 END AS exponent"
+
+
+@query(f"{H1} SELECT SNP, {_P_SQL} FROM (SELECT SNP, {_log10_tail_sql('(b0 / s0)')} AS lp FROM h)")
 def p_value(spark, sf):
-    h = _harmonised(spark, sf, 1)
-    return h.select("SNP", X.p_text(X.log10_p(F.col("p0.BETA") / F.col("p0.SE"))).alias("P"))
+    h = _harmonised(spark, sf, 1).select("SNP", X.p_text(X.log10_p(F.col("p0.BETA") / F.col("p0.SE"))).alias("P"))
+    return h.select("SNP", *_p_columns(F.col("P")))
 
 
 @query(f"{H1} SELECT SNP, CASE WHEN lp = 0 THEN 1.0::DOUBLE ELSE round(power(10.0::DOUBLE, lp - ceil(lp) + 1), 6) END AS mantissa, CASE WHEN lp = 0 THEN 0 ELSE ceil(lp)::BIGINT - 1 END AS exponent FROM (SELECT SNP, -abs(b0 / s0) * 7 AS lp FROM h)")
@@ -397,11 +457,11 @@ def _analysis(spark, sf, n, **how):
     return meta.run(spark, pops, [synth.ld_scores(spark, sf)], column_maps=dict.fromkeys(pops, names), **how)
 
 
-@query()
+@query(f"{MILD}, {_eliminated(2)}, two AS (" + " UNION ALL ".join(f"SELECT 'R{p}' AS pop, SNP, CHR{p} AS CHR, BP{p} AS BP, t / u AS BETA, 1 / sqrt(u) AS SE, t / sqrt(u) AS z, n{p} * g{p}{p} * u AS N_EFF FROM x JOIN est USING (SNP) WHERE p = {p}" for p in (0, 1)) + f") SELECT pop, SNP, CHR, BP, {_rs('SE', 'N_EFF')}, round(BETA, 6) + 0 AS BETA, round(z, 6) + 0 AS Z, {_P_SQL} FROM (SELECT *, {_log10_tail_sql('z')} AS lp FROM two)")
 def meta_two_populations(spark, sf):
     """The whole analysis with coefficients that are given, so that both populations have valid matrices."""
-    r = _analysis(spark, sf, 2, ld_option=LD_COEF, se2_option=SE2_COEF, const_option=CONST)
-    return reduce(lambda a, b: a.union(b), (t.select(F.lit(k[0]).alias("pop"), "SNP", "CHR", "BP", *_r("BETA", "SE", "Z", "N_EFF"), "P") for k, t in r.tables.items()))
+    r = _analysis(spark, sf, 2, ld_option=MILD_COEF, se2_option=SE2_COEF, const_option=CONST)
+    return reduce(lambda a, b: a.union(b), (t.select(F.lit(k[0]).alias("pop"), "SNP", "CHR", "BP", *_r("SE", "N_EFF"), *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("BETA", "Z")), *_p_columns(F.col("P"))) for k, t in r.tables.items()))
 
 
 @query(f"{H1} SELECT SNP, round(b0 / sqrt(1.1::DOUBLE * s0 * s0 + 0.01), 6) AS Z, round(n0 * (1.1::DOUBLE * s0 * s0 + 0.01) / (1.1::DOUBLE * s0 * s0 + 0.01), 6) AS N_EFF FROM h")
@@ -483,8 +543,10 @@ def ldscore_cross(spark, sf):
     return _scores(spark, sf, "A1", "A2", per_allele=False).select("idx", F.round("l2", 5).alias("l2"))
 
 
-@query()
+@query(_score_sql(["A1", "A2"], """, v AS (SELECT snp_idx, exp(sum(ln(m * (1 - m / 2)))) AS v FROM (SELECT snp_idx, anc, avg(g) AS m FROM f GROUP BY snp_idx, anc HAVING min(g) < max(g)) GROUP BY snp_idx HAVING count(*) = 2)
+SELECT ww.i AS idx, round(sum(coalesce(x.r * y.r * sqrt(CASE WHEN ww.i > ww.k AND ww.i // 8 > ww.k // 8 AND ww.i >= 16 THEN o.v / t.v ELSE t.v / o.v END), 0)), 5) AS l2 FROM ww JOIN r x ON x.i = ww.i AND x.k = ww.k AND x.anc = 'A1' JOIN r y ON y.i = ww.i AND y.k = ww.k AND y.anc = 'A2' LEFT JOIN v t ON t.snp_idx = ww.i LEFT JOIN v o ON o.snp_idx = ww.k GROUP BY ww.i""").replace("UNION ALL SELECT i, i FROM p", "UNION ALL SELECT range, range FROM range(64)"))
 def ldscore_allele_scale(spark, sf):
+    """A variant right of a chunk takes its left neighbour's ratio of variances, but in the first block."""
     return _scores(spark, sf, "A1", "A2").select("idx", F.round("l2", 5).alias("l2"))
 
 
@@ -507,7 +569,17 @@ def m_counts(spark, sf):
     return _estimate(spark, sf)[1]
 
 
-@query()
+_TABLE = """, u AS (SELECT * FROM geno WHERE anc IN ('A0', 'A1', 'A2')), a AS (SELECT DISTINCT anc FROM u), c AS (SELECT x.anc AS anc1, y.anc AS anc2 FROM a x JOIN a y ON x.anc <= y.anc),
+q AS (SELECT anc1, anc2, snp_idx, ind, anc, g, sum(g) OVER w / (2.0::DOUBLE * count(g) OVER w) AS af, count(*) FILTER (WHERE g = 1 OR g IS NULL) OVER w AS odd, count(*) OVER w AS n FROM c JOIN u ON anc IN (anc1, anc2) WHERE snp_idx % (substr(anc1, 2)::INT + 2) <> 0 AND snp_idx % (substr(anc2, 2)::INT + 2) <> 0 WINDOW w AS (PARTITION BY anc1, anc2, snp_idx)),
+f AS (SELECT anc1, anc2, snp_idx, dense_rank() OVER (PARTITION BY anc1, anc2 ORDER BY snp_idx) - 1 AS idx, ind, anc, coalesce(g::DOUBLE, 2 * af) AS g FROM q WHERE least(af, 1 - af) > 0 AND odd < n),
+r AS (SELECT a.anc1, a.anc2, a.snp_idx, a.idx AS i, b.idx AS k, a.anc, corr(a.g, b.g) AS r, count(*) AS n, avg(a.g) * (1 - avg(a.g) / 2) AS vi, avg(b.g) * (1 - avg(b.g) / 2) AS vk FROM f a JOIN f b ON a.anc1 = b.anc1 AND a.anc2 = b.anc2 AND a.ind = b.ind GROUP BY a.anc1, a.anc2, a.snp_idx, a.idx, b.idx, a.anc),
+s AS (SELECT x.anc1, x.anc2, x.snp_idx, x.i, x.k, least(x.i, x.k) AS lo, greatest(x.i, x.k) // 8 * 8 AS ck, greatest(x.i, x.k) AS hi, CASE WHEN x.anc1 = x.anc2 THEN x.r * x.r - (1 - x.r * x.r) / (x.n - 2) ELSE x.r * y.r END AS v, sqrt(x.vi * y.vi / (x.vk * y.vk)) AS ratio FROM r x JOIN r y ON x.anc1 = y.anc1 AND x.anc2 = y.anc2 AND x.i = y.i AND x.k = y.k AND x.anc = x.anc1 AND y.anc = y.anc2),
+l AS (SELECT anc1 || '_' || anc2 AS name, snp_idx, nullif(sum(coalesce(v * CASE WHEN i > k AND i // 8 > k // 8 AND i >= 16 THEN 1 / ratio ELSE ratio END, 0)), 0) AS l2 FROM s WHERE hi < 16 OR lo >= ck OR lo >= ck - ceil(least(ck, 10) / 8.0) * 8 GROUP BY ALL),
+b AS (SELECT snp_idx FROM u GROUP BY snp_idx HAVING least(sum(g) / (2.0::DOUBLE * count(g)), 1 - sum(g) / (2.0::DOUBLE * count(g))) > 0 AND count(*) FILTER (WHERE g = 1 OR g IS NULL) < count(*))"""
+_NAMES = [f"A{a}_A{b}" for a in range(3) for b in range(a, 3)]
+
+
+@query(f"{GENO} {_TABLE} SELECT '22' AS CHR, 'rs' || b.snp_idx AS SNP, 1000 * b.snp_idx AS BP, " + ", ".join(f"round(max(l2) FILTER (WHERE name = '{x}'), 6) AS {x}" for x in _NAMES) + " FROM b LEFT JOIN l ON l.snp_idx = b.snp_idx GROUP BY b.snp_idx")
 def ldscore_table(spark, sf):
     scores = _estimate(spark, sf)[0]
     return scores.select("CHR", "SNP", "BP", *(F.round(c, 6).alias(c) for c in scores.columns if c.startswith("A")))
