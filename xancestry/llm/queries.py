@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, embed_dedup, langid, lattice_lm, mixing, pii, simhash, tokencount
+from . import alignment, bpe, chat, chroma, embed_dedup, langid, lattice_lm, mixing, pii, simhash, tokencount
 from .common import table
 
 #: The key of the registered query; who runs the operator on real data brings their own.
 DEMO_KEY = b"a key for tests, not for real data"
-BPE_FILE, WORD_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
+BPE_FILE, WORD_FILE, PIECE_FILE, LEVEL_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.align_recordings(table(spark, sf_dir, "documents"), frame=256, hop=8)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(LEVEL_FILE), public_tokenizers.path(PIECE_FILE), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_language, op5_token_counts, op6_simhash, op7_embeddings, op8_preferences, op9_lattice, op10_chroma)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_language, op5_token_counts, op6_simhash, op7_embeddings, op8_preferences, op9_lattice, op10_chroma, op12_alignment)}
 
 
 OP2_SQL = r"""
