@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, chroma, embed_dedup, langid, lattice_lm, mixing, pii, simhash, tokencount
+from . import alignment, bpe, chat, chroma, embed_dedup, langid, lattice_lm, licenses, mixing, pii, simhash, tokencount
 from .common import table
 
 #: The key of the registered query; who runs the operator on real data brings their own.
@@ -66,12 +66,16 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.align_recordings(table(spark, sf_dir, "documents"), frame=256, hop=8)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.detect(table(spark, sf_dir, "documents")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(LEVEL_FILE), public_tokenizers.path(PIECE_FILE), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_language, op5_token_counts, op6_simhash, op7_embeddings, op8_preferences, op9_lattice, op10_chroma, op12_alignment)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_language, op5_token_counts, op6_simhash, op7_embeddings, op8_preferences, op9_lattice, op10_chroma, op11_licenses, op12_alignment)}
 
 
 OP2_SQL = r"""
@@ -141,4 +145,4 @@ FROM p LEFT JOIN g x ON x.conv_id = p.conv_id AND x.side = 'chosen' LEFT JOIN g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op8_preferences": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op8_preferences": OP8_SQL, "op11_licenses": licenses.oracle()}
