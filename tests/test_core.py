@@ -160,6 +160,31 @@ def test_p_values(spark):
     assert got[6].endswith("e-784") and abs(float(got[4].split("e")[0]) / float(got[5].split("e")[0]) - 1) < 1e-3
 
 
+def test_tail_against_erfc(spark):
+    """Both sides of every seam, as far as a double holds the tail; the plan has no Python in it."""
+    import math
+
+    z = [0.0, 1e-300, 1e-9, *np.linspace(-37, 37, 2001).tolist(), *(s * math.sqrt(2) + d for s in (X.NEAR, X.MIDDLE) for d in (-1e-12, 0, 1e-12))]
+    d = spark.createDataFrame([(x,) for x in [*z, None, float("nan"), math.inf, -math.inf, 1e200]], "z double").select("z", X.log10_p("z").alias("p"))
+    assert "Python" not in d._jdf.queryExecution().toString()
+    got = {r["z"]: r["p"] for r in d.collect() if r["z"] == r["z"]}
+    for x in z:
+        want = math.log10(math.erfc(abs(x) / math.sqrt(2)))
+        assert abs(got[x] - want) <= 2e-13 * max(1, abs(want)), x
+    assert got[None] is None and got[math.inf] == got[-math.inf] == -math.inf and got[1e200] == -math.inf
+    assert d.where("isnan(z)").first()["p"] is None
+
+
+def test_a_dropped_table_is_kept_again(spark):
+    from xancestry.plans import synth
+
+    first = synth.sumstats(spark, "/root/testdata/sf0.001")
+    assert synth.sumstats(spark, "/root/testdata/sf0.001") is first
+    spark.catalog.clearCache()
+    again = synth.sumstats(spark, "/root/testdata/sf0.001")
+    assert again is not first and again.storageLevel.useMemory
+
+
 def brute_scores(g, a, b, pairs, per_allele, n_of, exponent=0.0, within=None):
     m = len(g)
     people = a | b

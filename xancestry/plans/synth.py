@@ -5,10 +5,11 @@ Sums are of integers, so they don't hang on the order of rows.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .planning import kept
+
 POPS = 5
 _KEPT: dict[tuple[str, str], DataFrame] = {}
 _BASE = "substr('ACGT', CAST({} AS INT), 1)"
@@ -66,10 +67,14 @@ def _sql(spark: SparkSession, sf_dir: str, ctes: str, last: str) -> DataFrame:
 def sumstats(spark: SparkSession, sf_dir: str, pop: int | None = None) -> DataFrame:
     """All populations with column pop, or one as a source with columns under other names."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
+    # A table that clearCache() has dropped counts as none: its level says so.
+    if key not in _KEPT or not _KEPT[key].storageLevel.useMemory:
         # Every population is taken from this table, so the joins behind it run once; lost partitions are made again.
+        for at, old in _KEPT.items():
+            if at[0] == key[0]:
+                old.unpersist()
         _KEPT.clear()
-        _KEPT[key] = _sql(spark, sf_dir, SUMSTATS_SQL, "ss").withColumnRenamed("ord", "place").drop("k").persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[key] = kept(_sql(spark, sf_dir, SUMSTATS_SQL, "ss").withColumnRenamed("ord", "place").drop("k"))
     d = _KEPT[key]
     return d if pop is None else d.where(F.col("pop") == pop).drop("pop")
 

@@ -435,15 +435,14 @@ _P_SQL = "CASE WHEN lp = 0 THEN 1.0::DOUBLE ELSE round(power(10.0::DOUBLE, lp -
 
 @query(f"{H1} SELECT SNP, {_P_SQL} FROM (SELECT SNP, {_log10_tail_sql('(b0 / s0)')} AS lp FROM h)")
 def p_value(spark, sf):
-    h = _harmonised(spark, sf, 1).select("SNP", X.p_text(X.log10_p(F.col("p0.BETA") / F.col("p0.SE"))).alias("P"))
-    return h.select("SNP", *_p_columns(F.col("P")))
+    z = _harmonised(spark, sf, 1).select("SNP", X.z_score(F.col("p0.BETA"), F.col("p0.SE")).alias("z"))
+    return z.withColumn("lp", X.log10_p("z")).select("SNP", X.p_text(F.col("lp")).alias("P")).select("SNP", *_p_columns(F.col("P")))
 
 
 @query(f"{H1} SELECT SNP, CASE WHEN lp = 0 THEN 1.0::DOUBLE ELSE round(power(10.0::DOUBLE, lp - ceil(lp) + 1), 6) END AS mantissa, CASE WHEN lp = 0 THEN 0 ELSE ceil(lp)::BIGINT - 1 END AS exponent FROM (SELECT SNP, -abs(b0 / s0) * 7 AS lp FROM h)")
 def p_format(spark, sf):
-    lp = -F.abs(F.col("p0.BETA") / F.col("p0.SE")) * 7
-    mantissa, exponent = X.p_parts(lp)
-    return _harmonised(spark, sf, 1).select("SNP", F.round(mantissa, 6).alias("mantissa"), exponent.cast("long").alias("exponent"))
+    mantissa, exponent = X.p_parts(F.col("lp"))
+    return _harmonised(spark, sf, 1).select("SNP", (-F.abs(F.col("p0.BETA") / F.col("p0.SE")) * 7).alias("lp")).select("SNP", F.round(mantissa, 6).alias("mantissa"), exponent.cast("long").alias("exponent"))
 
 
 @query(f"{H1} SELECT SNP, CHR0 AS CHR, BP0 AS BP, A1_0 AS A1, A2_0 AS A2, round(f0, 6) AS FREQ, round(b0, 6) AS BETA FROM h ORDER BY CHR, BP, SNP")
