@@ -5,6 +5,8 @@ Sums are of integers, so they don't hang on the order of rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +16,19 @@ POPS = 5
 _KEPT: dict[tuple[str, str], DataFrame] = {}
 _BASE = "substr('ACGT', CAST({} AS INT), 1)"
 
-#: One row a variant and population (column pop), in the dialect that Spark and DuckDB share. {ss} is what the queries call it.
-SUMSTATS_SQL = f"""
-g AS (
+#: Steps to one row a variant and population (column pop), each a name and a query in the dialect that Spark and DuckDB share.
+SUMSTATS = {
+    "g": """
   SELECT CAST(l_partkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS pop, CAST(count(*) AS BIGINT) AS n,
          CAST(sum(CAST(round(100 * l_discount) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  GROUP BY l_partkey, n_regionkey),
-g1 AS (
-  SELECT *, CASE WHEN pop = 0 THEN 0 ELSE (k + pop) % 5 END AS m, {_BASE.format("k % 4 + 1")} AS r1, {_BASE.format("floor(k / 4.0) % 4 + 1")} AS r2 FROM g),
-g2 AS (
+  GROUP BY l_partkey, n_regionkey""",
+    "g1": f"""
+  SELECT *, CASE WHEN pop = 0 THEN 0 ELSE (k + pop) % 5 END AS m, {_BASE.format("k % 4 + 1")} AS r1, {_BASE.format("floor(k / 4.0) % 4 + 1")} AS r2 FROM g""",
+    "g2": """
   SELECT *, CASE WHEN m = 1 THEN r2 WHEN m = 2 THEN translate(r1, 'ACGT', 'TGCA') WHEN m = 3 THEN translate(r2, 'ACGT', 'TGCA') ELSE r1 END AS a1,
-            CASE WHEN m = 1 THEN r1 WHEN m = 2 THEN translate(r2, 'ACGT', 'TGCA') WHEN m = 3 THEN translate(r1, 'ACGT', 'TGCA') ELSE r2 END AS a2 FROM g1),
-g3 AS (
+            CASE WHEN m = 1 THEN r1 WHEN m = 2 THEN translate(r2, 'ACGT', 'TGCA') WHEN m = 3 THEN translate(r1, 'ACGT', 'TGCA') ELSE r2 END AS a2 FROM g1""",
+    "g3": """
   SELECT k, pop, 'RS' || CAST(k AS VARCHAR(20)) AS SNP, CAST(k % 24 AS VARCHAR(20)) AS CHR, 1000 * k AS BP,
          CASE WHEN pop > 0 AND (k + pop) % 97 = 0 THEN a1 || 'X' ELSE a1 END AS A1,
          CASE WHEN pop > 0 AND k % 101 = 0 THEN substr(replace(replace(replace('ACGT', a1, ''), translate(a1, 'ACGT', 'TGCA'), ''), a2, ''), 1, 1) ELSE a2 END AS A2,
@@ -34,12 +36,19 @@ g3 AS (
          (CASE WHEN m IN (1, 3) THEN -1 ELSE 1 END) * (CAST(20 * d AS DOUBLE) / (100 * n) - 1) AS BETA,
          CASE WHEN k % 71 = 0 THEN CAST(0 AS DOUBLE) ELSE 1 / sqrt(CAST(n AS DOUBLE)) END AS SE,
          CASE WHEN k % 89 = 0 THEN CAST(-0.1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS P, CAST(q AS DOUBLE) AS N, 2 * k AS ord
-  FROM g2),
-ss AS (
+  FROM g2""",
+    "ss": """
   SELECT * FROM g3
   UNION ALL
-  SELECT k, pop, SNP, CHR, BP + 1, A1, A2, FREQ, BETA, SE, P, N, ord + 1 FROM g3 WHERE k % 61 = 0)
-"""
+  SELECT k, pop, SNP, CHR, BP + 1, A1, A2, FREQ, BETA, SE, P, N, ord + 1 FROM g3 WHERE k % 61 = 0""",
+}
+
+
+def _ctes(steps: dict[str, str]) -> str:
+    return ",\n".join(f"{name} AS ({q})" for name, q in steps.items())
+
+
+SUMSTATS_SQL = _ctes(SUMSTATS)
 
 
 def _ld_columns() -> str:
@@ -50,18 +59,23 @@ def _ld_columns() -> str:
     return ", ".join(out)
 
 
-LD_SQL = f"""
-ld AS (
+LD = {
+    "ld": f"""
   SELECT 'RS' || CAST(k AS VARCHAR(20)) AS SNP, {_ld_columns()}
-  FROM (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS k FROM lineitem) parts)
-"""
+  FROM (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS k FROM lineitem) parts""",
+}
+LD_SQL = _ctes(LD)
 
 TABLES = ("lineitem", "orders", "customer", "nation")
 
 
-def _sql(spark: SparkSession, sf_dir: str, ctes: str, last: str) -> DataFrame:
+def _stepwise(spark: SparkSession, sf_dir: str, steps: dict[str, str]) -> DataFrame:
+    """Each step a query of its own on the frames before it: a persisted plan is found again within joins only if no WITH stands in it."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    return spark.sql(f"WITH {ctes} SELECT * FROM {last}".replace("lineitem", "{lineitem}").replace("orders ON", "{orders} ON").replace("customer ON", "{customer} ON").replace("nation ON", "{nation} ON"), **{t: f for t, f in frames.items() if t in ctes})
+    for name, q in steps.items():
+        q = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in frames else m[0], q)
+        frames[name] = spark.sql(q, **{t: f for t, f in frames.items() if f"{{{t}}}" in q})
+    return frames[name]
 
 
 def sumstats(spark: SparkSession, sf_dir: str, pop: int | None = None) -> DataFrame:
@@ -74,13 +88,13 @@ def sumstats(spark: SparkSession, sf_dir: str, pop: int | None = None) -> DataFr
             if at[0] == key[0]:
                 old.unpersist()
         _KEPT.clear()
-        _KEPT[key] = kept(_sql(spark, sf_dir, SUMSTATS_SQL, "ss").withColumnRenamed("ord", "place").drop("k"))
+        _KEPT[key] = kept(_stepwise(spark, sf_dir, SUMSTATS).withColumnRenamed("ord", "place").drop("k"))
     d = _KEPT[key]
     return d if pop is None else d.where(F.col("pop") == pop).drop("pop")
 
 
 def ld_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, LD_SQL, "ld")
+    return _stepwise(spark, sf_dir, LD)
 
 
 #: Dosages by variant (array place of an embedding) and person (vec_id), long: snp_idx, ind, anc, g.
