@@ -135,7 +135,7 @@ def test_releases(spark, tmp_path):
     assert {r["CHR"] for r in both.where("release = 'some'").select("CHR").distinct().collect()} == {"2"}
     assert sorted(map(tuple, both.where("release = 'current'").collect())) == rows
     figures = {r["population"]: r for r in spark.read.parquet(f"{tmp_path}/out/figures/release=current").collect()}
-    z = [r["Z"] ** 2 for r in out.where("population = 'R1_T'").select("Z").collect()]
+    z = [r["Z"] ** 2 for r in both.where("release = 'current' and population = 'R1_T'").select("Z").collect()]
     assert figures["R1_T"]["variants_out"] == len(z) and figures["R1_T"]["mean_chi_sq_out"] == pytest.approx(sum(z) / len(z))
     drops = {(r["population"], r["filter"]): r["dropped"] for r in spark.read.parquet(f"{tmp_path}/out/drops/release=some").collect()}
     assert drops["R0_T", "CHR VALUES"] > 0 and drops["R0_T", "TOTAL"] >= drops["R0_T", "ANY"] >= drops["R0_T", "CHR VALUES"]
