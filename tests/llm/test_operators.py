@@ -15,7 +15,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from xancestry.llm import bpe, chat, chroma, embed_dedup, langid, lattice_lm, minhash, mixing, pii, queries, simhash, tokencount
+from xancestry.llm import bpe, chat, chroma, embed_dedup, langid, lattice_lm, letters, minhash, mixing, pii, queries, simhash, tokencount
 from xancestry.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -245,6 +245,17 @@ def test_mix_splits_ties(spark):
     assert again.columns == d.columns and sum(len(r["text"].split()) for r in again.collect()) == sum(r["taken"] for r in got)
 
 
+def test_many_kinds_of_a_split_rank_are_not_broadcast(spark, monkeypatch):
+    """One id on many texts makes a row for each of them, whatever the number of sources."""
+    rows = [(7, "word " * (1 + i % 5) + str(i), "s") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = {}
+    for most in (50_000, 3):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        took[most] = sorted((r["size"], r["taken"]) for r in mixing.mix(d, percent=150).collect())
+    assert took[3] == took[50_000] and abs(sum(t for _, t in took[3]) - 1.5 * sum(n for n, _ in took[3])) <= 6
+
+
 # 3
 
 
@@ -269,6 +280,21 @@ def test_bpe_is_exact(library):
         assert ",".join(codec.encode(s)) == ",".join(map(str, enc.encode_ordinary(s)))
 
 
+def test_code_points_that_libraries_class_differently(library):
+    """Each of them, and many others, beside letters whose bytes merge with theirs."""
+    enc, codec = library
+    assert codec.odd is not None
+    differ = [chr(c) for c in np.flatnonzero(letters.by_tiktoken() != letters.by_regex()).tolist()]
+    rng = random.Random(2)
+    others = [chr(c) for c in rng.sample(letters.ALL, 6000)]
+    for group in (differ, others):
+        for at in range(0, len(group), 50):
+            s = "".join(f"{c}{rng.choice('벫뜭é字٣ ')}{c} {c}a{c}1" for c in group[at : at + 50])
+            assert ",".join(codec.encode(s)) == ",".join(map(str, enc.encode_ordinary(s)))
+    assert ",".join(codec.encode("\U00033240벫")) == ",".join(map(str, enc.encode_ordinary("\U00033240벫")))
+    assert bpe.spelled(r"[\p{Lu}]+", ("", "a", "1", " ")) is None and bpe.spelled(r"\p{L}+[^\s\p{N}]\S", ("", "a", "1", " ")) == "[a]+[^ 1][^ ]"
+
+
 def test_encode_documents(docs, odd, none, library):
     path = P.path(queries.BPE_FILE)
     for d in (docs, odd):

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import letters
 from .common import Memo, exact, shipped
 
 #: Pieces that a worker remembers, pieces encoded at once of a huge text, characters that make it one, and rows of a result batch.
@@ -30,6 +31,36 @@ PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\u00a0-\\u00a9\\u00ab-\\u00b1\\u00b4
 FAST_CLASSES = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"))
 
 
+def library_classes() -> tuple[str, ...]:
+    """What tiktoken's patterns and the regex package's class differently, and tiktoken's letters, numbers and white space, as insides of character classes."""
+    own = letters.by_tiktoken()
+    return letters.ranges(own != letters.by_regex()), *(letters.ranges(own == k) for k in (letters.LETTER, letters.NUMBER, letters.SPACE))
+
+
+def spelled(pattern: str, classes: tuple[str, ...]) -> str | None:
+    """pattern for the standard library's re with these letters, numbers and white space in place of its classes; None if it has others."""
+    of = dict(zip((r"\p{L}", r"\p{N}", r"\s"), classes[1:]))
+    out, at, inside = "", 0, False
+    while at < len(pattern):
+        name = next((n for n in (*of, r"\S") if pattern.startswith(n, at)), None)
+        if name is None:
+            if pattern[at : at + 2].lower() in (r"\p", r"\w", r"\d"):
+                return None
+            step = 2 if pattern[at] == "\\" else 1
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out += pattern[at : at + step]
+        elif name == r"\S":
+            if inside:
+                return None
+            step = 2
+            out += f"[^{of[chr(92) + 's']}]"
+        else:
+            step = len(name)
+            out += of[name] if inside else f"[{of[name]}]"
+        at += step
+    return out
+
+
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """The tokens and ranks of a vocabulary file with a base64 token and a number a line."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
@@ -38,7 +69,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class ByteBPE:
     """Encodes and decodes by a table of ranks; pieces of a text are the matches of pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, classes: tuple[str, ...] | None = None):
+        """classes: as from library_classes(), asked for if they aren't given."""
         import ahocorasick
         import regex
 
@@ -65,6 +97,10 @@ class ByteBPE:
         self.find.make_automaton()
         self.shorter = Memo(self.next_shorter, 1 << 20)
         self.pattern = regex.compile(pattern)
+        # Texts with a code point that this package classes otherwise are split by tiktoken's classes spelled out, which is slower.
+        classes = classes or library_classes()
+        exactly = spelled(pattern, classes) if classes[0] else None
+        self.odd, self.exactly = (re.compile(f"[{classes[0]}]"), re.compile(exactly)) if exactly else (None, None)
         fast = pattern
         for a, b in FAST_CLASSES[::-1]:
             fast = fast.replace(a, b)
@@ -133,7 +169,7 @@ class ByteBPE:
 
     def split(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, in blocks."""
-        pattern = self.fast if self.fast and PLAIN.fullmatch(text) else self.pattern
+        pattern = self.fast if self.fast and PLAIN.fullmatch(text) else self.exactly if self.odd and self.odd.search(text) else self.pattern
         if len(text) <= HUGE_CHARS:
             yield pattern.findall(text)
         else:
@@ -173,13 +209,13 @@ class ByteBPE:
 _CODECS: dict[tuple, ByteBPE] = {}
 
 
-def _codec(vocabulary, pattern: str) -> ByteBPE:
+def _codec(vocabulary, pattern: str, classes: tuple[str, ...]) -> ByteBPE:
     """One codec a Python worker, kept with what it remembers while the worker lives."""
     data = vocabulary.value
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = ByteBPE(read_ranks(data), pattern)
+        _CODECS[key] = ByteBPE(read_ranks(data), pattern, classes)
     return _CODECS[key]
 
 
@@ -191,12 +227,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     stays null, other columns are left out, and an empty table gives an empty one. A text is encoded in blocks of
     pieces; only its own ids are held, and those only if they are asked for.
     """
-    vocabulary = shipped(docs.sparkSession, path)
+    vocabulary, classes = shipped(docs.sparkSession, path), library_classes()
     source = docs.select(exact(id_col).alias("id"), exact(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        codec = _codec(vocabulary, pattern)
+        codec = _codec(vocabulary, pattern, classes)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)

@@ -44,10 +44,12 @@ def exact(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of its own only where the setting is missing, as in tests."""
+    """The shared folder that the cluster names; one of its own only where none is named, as in tests, on a single machine."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         at = "/tmp/checkpoints/xancestry"
     if at is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)

@@ -16,7 +16,7 @@ from .common import WORD, cut, deleted, exact, holding
 
 #: Hexadecimal digits of a document's seeded rank, and of these the first ones by which ranks are summed in bins.
 RANK_DIGITS, BIN_DIGITS = 13, 3
-#: The plan, a row a source, is broadcast only up to this number of sources; beyond it it is joined.
+#: The plan, a row a source, and the kinds of rows of a split rank are broadcast only up to this number of rows; beyond it they are joined.
 MOST_BROADCAST = 50_000
 #: A column that is added to tables whose own columns have other names (see repeated).
 ROW = "mix_row"
@@ -115,12 +115,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
     plan = t.alias("t").join(met.select("source", "bin").alias("m"), F.col("t.source").eqNullSafe(F.col("m.source")), "left")
     plan = plan.join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
     plan = levels = cut(plan.select(F.col("t.source").alias("source"), "source_size", "target", "whole", F.coalesce("last", F.col("bin") * width - 1, F.lit(-1)).alias("last"), "split"))
-    some = plan.count() <= MOST_BROADCAST
-    plan = F.broadcast(plan) if some else plan
+    plan = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
     # Rows of a rank of which only some are taken.
-    share = plan.where("split is not null").alias("p").join(ties.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.split") == F.col("t.r"))).where("t.fit > 0").select("t.source", "t.r", "t.size", "t.tie", "t.fit")
-    chosen = cut(taken_of(slim, F.broadcast(share) if some else share))
-    deleted(ties)
+    share = cut(plan.where("split is not null").alias("p").join(ties.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.split") == F.col("t.r"))).where("t.fit > 0").select("t.source", "t.r", "t.size", "t.tie", "t.fit"))
+    # A row for each kind of text of the rank, whose number isn't that of the sources: one id may stand on many texts.
+    chosen = cut(taken_of(slim, F.broadcast(share) if share.count() <= MOST_BROADCAST else share))
+    deleted(ties, share)
     if keep:
         deleted(slim)
         d = whole.select(F.struct(*map(exact, docs.columns)).alias("doc"), F.col(ROW).alias("row"), exact(source_col).alias("source"), size.alias("size"), rank_.alias("r"))
