@@ -31,7 +31,7 @@ def block_lefts(coords, reach: float) -> np.ndarray:
 def block_sizes(coords, reach: float) -> np.ndarray:
     """Number of variants nearer than reach, strictly."""
     x = np.asarray(coords, float)
-    return np.searchsorted(x, x + reach, side="left") - np.searchsorted(x, x - reach, side="right")
+    return np.maximum(np.searchsorted(x, x + reach, side="left") - np.searchsorted(x, x - reach, side="right"), 0)
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,22 @@ class Windows:
         return k < self.first or i >= ck or ck - self.back[k // self.chunk] <= i
 
 
+def chunk_pairs(lefts: DataFrame, chunk: int = 50) -> tuple[DataFrame, int, int]:
+    """(idx, left) of all variants -> ((i int, k int) pairs of chunks, chunk, first): what Windows tells, as rows that are made on the executors.
+
+    Two numbers come to the driver: how many variants there are, and the first whose window doesn't reach back to the beginning.
+    """
+    m, beyond = lefts.agg(F.count("*"), F.min(F.when(F.col("left") > 0, F.col("idx")))).first()
+    first, c = -(-(m if beyond is None else beyond) // chunk) * chunk, chunk
+    if first > m:
+        first, c = m, 1
+    at = F.col("idx")
+    back = F.ceil((at - F.col("left")) / c) * c
+    low = F.when(at < first, F.lit(0)).otherwise(F.floor(F.greatest(F.lit(0), at - back) / c)).cast("int")
+    k = (at / c).cast("int")
+    return lefts.where(at % c == 0).select(F.explode(F.sequence(low, k)).alias("i"), k.alias("k")), c, first
+
+
 def maf_ok(g: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Of dosages [variant, person] (NaN missing): the smaller frequency above least, and fewer than all het or missing."""
     miss = np.isnan(g)
@@ -92,23 +108,24 @@ def _prepare(g: np.ndarray, masks: list[np.ndarray]):
     return out
 
 
-def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0) -> DataFrame:
+def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: DataFrame | np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0) -> DataFrame:
     """(idx, l2) of one pair of ancestries (or one with itself).
 
-    geno: idx (0 to m - 1 in order) and dosage of all people; anc1, anc2: masks of people. Products of correlations are
+    geno: idx (0 to m - 1 in order) and dosage of all people; anc1, anc2: masks of people; lefts: (idx, left), or an array of small inputs. Products of correlations are
     summed over the windows; within an ancestry the square is freed of its bias unless correct is off. per_allele scales by
     the ratio of the variants' variances; as a known property of this score, a variant right of a chunk takes the ratio of its left
     neighbour's, unless symmetric. With an exponent each correlation counts times the other variant's variance to half that power; again
     unless symmetric, a variant right of a chunk takes its own variance for that of its left neighbour, and pairs within a chunk beyond the first
     block aren't scaled. Undefined products count as nothing.
     """
-    win = Windows.of(lefts, chunk)
+    spark = geno.sparkSession
+    if isinstance(lefts, np.ndarray):
+        lefts = spark.createDataFrame(list(enumerate(lefts.tolist())), "idx long, left long")
+    pairs, size, first = chunk_pairs(lefts, chunk)
     people = anc1 | anc2
     masks = [anc1[people], anc2[people]]
     same = bool((anc1 == anc2).all())
-    spark = geno.sparkSession
-    pairs = spark.createDataFrame(win.chunk_pairs() or [(0, 0)], "i int, k int")
-    blocks = geno.withColumn("chunk", F.floor(F.col("idx") / win.chunk).cast("int")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "dosage"))).alias("v"))
+    blocks = geno.withColumn("chunk", F.floor(F.col("idx") / size).cast("int")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "dosage"))).alias("v"))
     left = blocks.select(F.col("chunk").alias("i"), F.col("v").alias("vi"))
     right = blocks.select(F.col("chunk").alias("k"), F.col("v").alias("vk"))
     met = pairs.join(left, "i").join(right, "k")
@@ -128,7 +145,7 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: np.n
                 read = lambda v: (np.array([x["idx"] for x in v]), np.array([[np.nan if y is None else y for y in x["dosage"]] for x in v], float)[:, people])
                 (ni, gi), (nk, gk) = read(vi), read(vk)
                 a, b = _prepare(gi, masks), _prepare(gk, masks)
-                both_ways = symmetric or k * win.chunk < win.first
+                both_ways = symmetric or k * size < first
                 x = products(a, b, i != k or both_ways)
                 if per_allele:
                     with np.errstate(invalid="ignore", divide="ignore"):

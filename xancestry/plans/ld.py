@@ -9,9 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ldscore
+from ..operators import ldscore, numbering
+from .planning import kept
 
 SIZES = "_ldBlockSize"
+#: Variants that are numbered in one task.
+NUMBERED = 1 << 17
 
 
 def window(snps: float | None = None, kb: float | None = None, cm: float | None = None) -> tuple[float, str]:
@@ -33,8 +36,8 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
     """(scores, counts): CHR, SNP, BP and a column a pair of ancestries; and anc1, anc2, m, m_5_50.
 
     variants: snp_idx, CHR, SNP, CM, BP. people: ind_idx, ancestry. geno: snp_idx, dosage. sources: SNP and 0 or 1 by
-    ancestry. Variants without a source are left out, as are those that fail the genotype filter over all people. Only
-    coordinates and counts of variants come to the driver, never genotypes. A zero score is written as null. With sizes, columns
+    ancestry. Variants without a source are left out, as are those that fail the genotype filter over all people. People's
+    ancestries come to the driver, and of variants their numbers only. A zero score is written as null. With sizes, columns
     named after a pair with SIZES tell how many of its variants are nearer than reach.
     """
     who = people.orderBy("ind_idx").collect()
@@ -42,21 +45,26 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
     of = np.array([r["ancestry"] for r in who])
     known = variants.join(sources, "SNP")
     flags = geno.mapInPandas(_genotype_checks(of, anc, maf), "snp_idx long, ok_all boolean, ok array<boolean>, common array<boolean>")
-    meta = known.join(flags, "snp_idx").orderBy("snp_idx").select("snp_idx", "CHR", "SNP", "BP", "CM", *(F.col(a).cast("double").alias(f"has_{k}") for k, a in enumerate(anc)), "ok_all", "ok", "common").toPandas()
+    # Read by every pair of ancestries; partitions that are lost are made again.
+    meta = kept(known.join(flags, "snp_idx").select("snp_idx", "CHR", "SNP", "BP", "CM", *(F.col(a).cast("double").alias(f"has_{k}") for k, a in enumerate(anc)), "ok_all", "ok", "common"))
     combos = list(itertools.combinations_with_replacement(range(len(anc)), 2))
-    frames, counts = [], []
+    own = [(F.col(f"has_{a}") != 0) & (F.col(f"has_{b}") != 0) & F.col("ok")[at] for at, (a, b) in enumerate(combos)]
+    got = meta.agg(*(F.count_if(x).alias(f"m_{at}") for at, x in enumerate(own)), *(F.count_if(x & F.col("common")[at]).alias(f"c_{at}") for at, x in enumerate(own))).first()
+    counts = [(anc[a], anc[b], got[f"m_{at}"], got[f"c_{at}"]) for at, (a, b) in enumerate(combos)]
+    frames = []
     for at, (a, b) in enumerate(combos):
-        own = meta[(meta[f"has_{a}"] != 0) & (meta[f"has_{b}"] != 0) & np.array([bool(x[at]) for x in meta["ok"]], bool)]
-        counts.append((anc[a], anc[b], len(own), int(sum(bool(x[at]) for x in own["common"]))))
         name = f"{anc[a]}_{anc[b]}"
-        if not len(own):
+        if not got[f"m_{at}"]:
             continue
-        coords = np.arange(len(own)) if reach[1] == "idx" else own[reach[1]].to_numpy()
-        lefts = ldscore.block_lefts(coords, reach[0])
-        number = spark.createDataFrame(list(zip(own["snp_idx"].tolist(), range(len(own)), ldscore.block_sizes(coords, reach[0]).tolist())), "snp_idx long, idx long, size long")
-        scored = ldscore.pair_scores(geno.join(number, "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], lefts, chunk, per_allele, correct, symmetric, exponent)
-        frames.append(scored.join(number, "idx").select("snp_idx", F.nullif("l2", F.lit(0.0)).alias(name), *([F.col("size").cast("double").alias(name + SIZES)] if sizes else [])))
-    base = spark.createDataFrame(meta[meta["ok_all"]][["snp_idx", "CHR", "SNP", "BP"]]) if meta["ok_all"].any() else known.select("snp_idx", "CHR", "SNP", "BP").limit(0)
+        number = kept(numbering.dense(meta.where(own[at]).select("snp_idx", "BP", "CM"), [F.floor(F.col("snp_idx") / NUMBERED)], [F.col("snp_idx")], "idx"))
+        x = F.col(reach[1]).cast("double")
+        near = kept(numbering.bounds(number.select("idx", x.alias("x")), reach[0]))
+        scored = ldscore.pair_scores(geno.join(number.select("snp_idx", "idx"), "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], near, chunk, per_allele, correct, symmetric, exponent)
+        scored = scored.join(number.select("snp_idx", "idx"), "idx")
+        if sizes:
+            scored = scored.join(near.select("idx", "size"), "idx")
+        frames.append(scored.select("snp_idx", F.nullif("l2", F.lit(0.0)).alias(name), *([F.col("size").cast("double").alias(name + SIZES)] if sizes else [])))
+    base = meta.where("ok_all").select("snp_idx", "CHR", "SNP", "BP")
     out = reduce(lambda x, y: x.join(y, "snp_idx", "left"), frames, base)
     order = [f"{anc[a]}_{anc[b]}" for a, b in combos if a != b] + [f"{x}_{x}" for x in anc]
     order += [c + SIZES for c in order]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .operators import columns, gls, harmonise, ldscore, quality, regression
+from .operators import columns, gls, harmonise, ldscore, numbering, quality, regression
 from .plans import ld, meta, synth
 from .plans.planning import kept
 
@@ -488,31 +488,35 @@ COORDS = "c AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey * 7 + (p_
 
 
 def _coords(spark, sf):
+    """(idx, x): parts as variants, numbered in the order of their coordinates."""
     d = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"))
-    pdf = d.withColumn("x", F.col("id") * 7 + (F.col("id") * F.col("id")) % 5).orderBy("x", "id").toPandas()
-    return pdf["x"].to_numpy()
+    d = d.withColumn("x", F.col("id") * 7 + (F.col("id") * F.col("id")) % 5)
+    return numbering.dense(d, [F.floor(F.col("x") / 4096)], [F.col("x"), F.col("id")], "idx").select("idx", F.col("x").cast("double").alias("x"))
 
 
 @query(f"WITH {COORDS} SELECT idx, min(idx) OVER (ORDER BY x RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS left_idx FROM i")
 def block_left(spark, sf):
-    return spark.createDataFrame(list(enumerate(ldscore.block_lefts(_coords(spark, sf), 100).tolist())), "idx long, left_idx long")
+    return numbering.bounds(_coords(spark, sf), 100).select("idx", F.col("left").alias("left_idx"))
 
 
 @query(f"WITH {COORDS} SELECT idx, count(*) OVER (ORDER BY x RANGE BETWEEN 99 PRECEDING AND 99 FOLLOWING) AS size FROM i")
 def block_size(spark, sf):
-    return spark.createDataFrame(list(enumerate(ldscore.block_sizes(_coords(spark, sf), 100).tolist())), "idx long, size long")
+    return numbering.bounds(_coords(spark, sf), 100).select("idx", "size")
 
 
-_W = "WITH p AS (SELECT CAST(range AS BIGINT) AS i FROM range(64)), b AS (SELECT i, greatest(i - 10, 0) AS bl FROM p), s AS (SELECT i, bl, CAST(ceil((i - bl) / 8.0) * 8 AS BIGINT) AS bs FROM b)"
+_W = "p AS (SELECT CAST(range AS BIGINT) AS i FROM range(64)), b AS (SELECT i, greatest(i - 10, 0) AS bl FROM p), s AS (SELECT i, bl, CAST(ceil((i - bl) / 8.0) * 8 AS BIGINT) AS bs FROM b)"
+_PAIRS = f"""WITH {COORDS}, b AS (SELECT idx, min(idx) OVER (ORDER BY x RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS bl FROM i),
+f AS (SELECT ceil(coalesce(min(idx) FILTER (WHERE bl > 0), count(*)) / 8.0) * 8 AS first FROM b), s AS (SELECT idx // 8 AS c, idx AS at, ceil((idx - bl) / 8.0) * 8 AS bs FROM b WHERE idx % 8 = 0)
+SELECT a.idx AS i, k.idx AS k FROM i k JOIN s ON s.c = k.idx // 8 CROSS JOIN f JOIN i a ON a.idx < k.idx AND (k.idx < f.first OR a.idx >= s.at OR a.idx >= s.at - s.bs)"""
 
 
-@query(f"{_W}, k AS (SELECT i AS k, (i // 8) * 8 AS ck FROM p) SELECT a.i, k.k FROM p a JOIN k ON a.i < k.k JOIN s ON s.i = k.ck WHERE k.k < 16 OR a.i >= k.ck OR a.i >= k.ck - s.bs")
+@query(_PAIRS)
 def ld_pairs(spark, sf):
-    """Pairs of 64 variants within 10 places, by chunks of 8: an equi-join on the chunk."""
-    w = ldscore.Windows.of(ldscore.block_lefts(np.arange(64), 10), 8)
-    v = spark.range(64).select(F.col("id").alias("n"), F.floor(F.col("id") / w.chunk).cast("int").alias("c"))
-    pairs = spark.createDataFrame(w.chunk_pairs(), "ci int, ck int")
-    out = pairs.join(v.select(F.col("n").alias("i"), F.col("c").alias("ci")), "ci").join(v.select(F.col("n").alias("k"), F.col("c").alias("ck")), "ck")
+    """Pairs of variants within 100 of each other, by chunks of 8: chunks' pairs are made from each chunk's reach, and met by an equi-join."""
+    v = _coords(spark, sf).select("idx", "x")
+    pairs, size, _ = ldscore.chunk_pairs(kept(numbering.bounds(v, 100)), 8)
+    of = lambda n, c: v.select(F.col("idx").alias(n), F.floor(F.col("idx") / size).cast("int").alias(c))
+    out = pairs.withColumnsRenamed({"i": "ci", "k": "ck"}).join(of("i", "ci"), "ci").join(of("k", "ck"), "ck")
     return out.where("i < k").select("i", "k")
 
 
@@ -527,7 +531,7 @@ def _score_sql(ancs, value):
     who = ", ".join(f"'{a}'" for a in ancs)
     return f"""{GENO}, f AS (SELECT snp_idx, ind, anc, coalesce(g::DOUBLE, avg(g) OVER (PARTITION BY snp_idx)) AS g FROM geno WHERE anc IN ({who})),
 r AS (SELECT a.snp_idx AS i, b.snp_idx AS k, a.anc, corr(a.g, b.g) AS r, count(*) AS n FROM f a JOIN f b ON a.ind = b.ind GROUP BY a.snp_idx, b.snp_idx, a.anc),
-w AS ({_W} , k AS (SELECT i AS k, (i // 8) * 8 AS ck FROM p) SELECT a.i, k.k FROM p a JOIN k ON a.i < k.k JOIN s ON s.i = k.ck WHERE k.k < 16 OR a.i >= k.ck OR a.i >= k.ck - s.bs),
+w AS (WITH {_W} , k AS (SELECT i AS k, (i // 8) * 8 AS ck FROM p) SELECT a.i, k.k FROM p a JOIN k ON a.i < k.k JOIN s ON s.i = k.ck WHERE k.k < 16 OR a.i >= k.ck OR a.i >= k.ck - s.bs),
 ww AS (SELECT i, k FROM w UNION ALL SELECT k, i FROM w UNION ALL SELECT i, i FROM p)
 {value}"""
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.numbering import dense
 from .text import SourceError, lines
 
 #: Fixed values of the format: magic number, and the byte of the order by variant.
@@ -17,7 +18,8 @@ DOSAGE = np.array([0, MISSING, 1, 2], np.int8)
 
 
 def _indexed(d: DataFrame, name: str) -> DataFrame:
-    return d.withColumn(name, (F.row_number().over(Window.orderBy("place")) - 1).cast("long")).drop("place")
+    """Numbers by the place in the file: within each block that one task reads, and over the blocks' counts."""
+    return dense(d, [F.col("place.f"), F.col("place.b")], [F.col("place.i")], name).drop("place")
 
 
 def bim(spark: SparkSession, path: str) -> DataFrame:
