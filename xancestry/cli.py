@@ -126,21 +126,23 @@ def run_meta(spark: SparkSession, a: argparse.Namespace, log) -> None:
 
 
 def run_ld(spark: SparkSession, a: argparse.Namespace, log) -> None:
-    from pyspark.sql import functions as F
-
     variants, people = plink.bim(spark, f"{a.bfile_merged_path}.bim"), plink.fam(spark, f"{a.bfile_merged_path}.fam")
-    geno = plink.bed(spark, f"{a.bfile_merged_path}.bed", people.count(), variants.count())
+    n_people, n_variants = people.count(), variants.count()
     people = ld.checked(people, plink.ancestry_map(spark, a.ances_path))
+    kept = None
     if a.ld_extract:
-        variants = variants.join(text.ids(spark, a.ld_extract), "SNP", "left_semi")
+        variants = ld.matching(variants, text.one_column(spark, a.ld_extract), "SNP", a.ld_extract)
     if a.ld_keep:
-        people = people.join(text.ids(spark, a.ld_keep).withColumnRenamed("SNP", "IID"), "IID", "left_semi")
-        kept = F.array(*(F.lit(r["ind_idx"]) for r in people.orderBy("ind_idx").collect()))
-        geno = geno.select("snp_idx", F.transform(kept, lambda i: F.get("dosage", i.cast("int"))).alias("dosage"))
+        people = ld.matching(people, text.one_column(spark, a.ld_keep).withColumnRenamed("SNP", "IID"), "IID", a.ld_keep)
+        kept = [r["ind_idx"] for r in people.select("ind_idx").orderBy("ind_idx").collect()]
+    geno = plink.bed(spark, f"{a.bfile_merged_path}.bed", n_people, n_variants, kept)
+    print_snps = text.one_column(spark, a.print_snps) if a.print_snps else None
     sources = text.scan(spark, a.snp_ances, r"\s+").drop("place")
     reach = ld.window(a.ld_wind_snps, a.ld_wind_kb, a.ld_wind_cm)
     scores, counts = ld.estimate(spark, variants, people, geno, sources, reach, a.chunk_size, a.maf, not a.std_geno_ldsc, not a.no_single_correct, a.symmetric, a.pq_exp, a.ldBlockSize)
-    scores = ld.restrict(scores, text.ids(spark, a.print_snps) if a.print_snps else None, a.print_cross_only)
+    for pair, n in ld.zero_scores(scores).items():
+        log.warning("%s: %d variants have an LD score of zero, as those without variation have", pair, n)
+    scores = ld.restrict(scores, print_snps, a.print_cross_only)
     sinks.write_ldscores(scores, a.out)
     sinks.write_counts(counts, a.out)
 

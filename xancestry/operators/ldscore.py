@@ -2,15 +2,18 @@
 
 A variant's window reaches back to the first variant within a distance. Pairs are taken by whole chunks: which
 pairs of chunks are needed follows from the windows alone, so the work is a join on a chunk's number, and each pair of
-chunks is one product of matrices.
+chunks is one product of matrices a tile of people.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,30 +88,78 @@ def chunk_pairs(lefts: DataFrame, chunk: int = 50) -> tuple[DataFrame, int, int]
     return lefts.where(at % c == 0).select(F.explode(F.sequence(low, k)).alias("i"), k.alias("k")), c, first
 
 
+def smaller_frequency(g: np.ndarray) -> np.ndarray:
+    """Of dosages [variant, person] (NaN missing): of both alleles the smaller frequency among called people, NaN if there are none."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        f = np.nansum(g, 1) / (2 * (~np.isnan(g)).sum(1))
+    return np.minimum(f, 1 - f)
+
+
 def maf_ok(g: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Of dosages [variant, person] (NaN missing): the smaller frequency above least, and fewer than all het or missing."""
     miss = np.isnan(g)
-    n = g.shape[1] - miss.sum(1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        f = np.nansum(g, 1) / (2 * n)
-    return (np.minimum(f, 1 - f) > least) & (((g == 1).sum(1) + miss.sum(1)) < g.shape[1])
-
-
-def _prepare(g: np.ndarray, masks: list[np.ndarray]):
-    """Missing to the mean of all given people; by ancestry: standardised dosages, 2 f (1 - f) and standard deviations."""
-    mean = np.nanmean(g, 1, keepdims=True)
-    g = np.where(np.isnan(g), mean, g)
-    out = []
-    for mask in masks:
-        own = g[:, mask]
-        f = own.mean(1) / 2
-        sd = own.std(1, keepdims=True)
+    return (smaller_frequency(g) > least) & (((g == 1).sum(1) + miss.sum(1)) < g.shape[1])
+
+
+#: People whose dosages one row holds, and dosages that are standardised at once.
+TILE, AT_ONCE = 8192, 1 << 22
+TILED = "idx long, tile int, g binary, fill double, m1 double, s1 double, m2 double, s2 double"
+
+
+def _tiles(geno: DataFrame, masks: list[np.ndarray], tile: int) -> DataFrame:
+    """Each variant's dosages as bytes (-1 missing) by tile of people, with what they are standardised by: the mean of all given people
+    for missing ones, and by ancestry mean and standard deviation once those are filled in."""
+    people = np.flatnonzero(masks[0] | masks[1])
+    own = [m[people] for m in masks]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            n = batch.num_rows
+            if not n:
+                continue
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).reshape(n, -1)
+            step = max(1, AT_ONCE // max(1, len(people)))
+            for at in range(0, n, step):
+                g = flat[at : at + step][:, people].astype(np.int8)
+                called = g >= 0
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    fill = np.where(called, g, 0).sum(1) / called.sum(1)
+                full = np.where(called, g, fill[:, None])
+                stats = [x for m in own for x in (full[:, m].mean(1), full[:, m].std(1))]
+                idx = batch.column(0).slice(at, step)
+                for t in range(0, len(people), tile):
+                    part = np.ascontiguousarray(g[:, t : t + tile])
+                    yield pa.RecordBatch.from_arrays([idx, pa.array(np.full(len(g), t // tile, np.int32)), pa.array([r.tobytes() for r in part], pa.binary()), *(pa.array(x) for x in (fill, *stats))], ["idx", "tile", "g", "fill", "m1", "s1", "m2", "s2"])
+
+    return geno.select(F.col("idx").cast("long").alias("idx"), F.col("dosage").cast("array<int>").alias("dosage")).mapInArrow(run, TILED)
+
+
+class _Chunk:
+    """The variants of one row's list of structs: numbers, statistics by ancestry, and standardised dosages of a tile by ancestry."""
+
+    def __init__(self, v: pa.StructArray, own: list[np.ndarray]):
+        of = lambda c: v.field(c).to_numpy(zero_copy_only=False)
+        self.idx = of("idx")
+        self.mean, self.sd = [of("m1"), of("m2")], [of("s1"), of("s2")]
+        g = np.frombuffer(b"".join(v.field("g").to_pylist()), np.int8).reshape(len(self.idx), -1)
+        full = np.where(g >= 0, g, of("fill")[:, None])
         with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(((own - own.mean(1, keepdims=True)) / sd, 2 * f * (1 - f), sd[:, 0]))
-    return out
+            self.z = [(full[:, o] - m[:, None]) / s[:, None] for o, m, s in zip(own, self.mean, self.sd)]
 
+    def variance(self, a: int) -> np.ndarray:
+        f = self.mean[a] / 2
+        return 2 * f * (1 - f)
 
-def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: DataFrame | np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0) -> DataFrame:
+
+class _Told(_Chunk):
+    """A chunk's numbers and statistics without its dosages."""
+
+    def __init__(self, idx, mean, sd):
+        self.idx, self.mean, self.sd = idx, mean, sd
+
+
+def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: DataFrame | np.ndarray, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0, tile: int = TILE) -> DataFrame:
     """(idx, l2) of one pair of ancestries (or one with itself).
 
     geno: idx (0 to m - 1 in order) and dosage of all people; anc1, anc2: masks of people; lefts: (idx, left), or an array of small inputs. Products of correlations are
@@ -117,49 +168,85 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: Data
     neighbour's, unless symmetric. With an exponent each correlation counts times the other variant's variance to half that power; again
     unless symmetric, a variant right of a chunk takes its own variance for that of its left neighbour, and pairs within a chunk beyond the first
     block aren't scaled. Undefined products count as nothing.
+
+    A row holds a chunk's dosages of one tile of people, a byte each. Correlations are sums over people, so tiles are multiplied
+    apart and their products added.
     """
     spark = geno.sparkSession
     if isinstance(lefts, np.ndarray):
         lefts = spark.createDataFrame(list(enumerate(lefts.tolist())), "idx long, left long")
     pairs, size, first = chunk_pairs(lefts, chunk)
-    people = anc1 | anc2
-    masks = [anc1[people], anc2[people]]
-    same = bool((anc1 == anc2).all())
-    blocks = geno.withColumn("chunk", F.floor(F.col("idx") / size).cast("int")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "dosage"))).alias("v"))
-    left = blocks.select(F.col("chunk").alias("i"), F.col("v").alias("vi"))
-    right = blocks.select(F.col("chunk").alias("k"), F.col("v").alias("vk"))
-    met = pairs.join(left, "i").join(right, "k")
-
-    def products(a, b, scaled=True):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            r = [x[0] @ y[0].T / x[0].shape[1] * (y[2] ** exponent if exponent and scaled else 1) for x, y in zip(a, b)]
-        if not same:
-            return r[0] * r[1]
-        n = masks[0].sum()
-        r2 = r[0] ** 2
-        return r2 - (1 - r2) / (n - 2) if correct else r2
-
-    def run(batches):
-        for pdf in batches:
-            for i, k, vi, vk in zip(pdf["i"], pdf["k"], pdf["vi"], pdf["vk"]):
-                read = lambda v: (np.array([x["idx"] for x in v]), np.array([[np.nan if y is None else y for y in x["dosage"]] for x in v], float)[:, people])
-                (ni, gi), (nk, gk) = read(vi), read(vk)
-                a, b = _prepare(gi, masks), _prepare(gk, masks)
-                both_ways = symmetric or k * size < first
-                x = products(a, b, i != k or both_ways)
-                if per_allele:
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        scale = np.sqrt((a[0][1] * a[1][1])[:, None] / (b[0][1] * b[1][1])[None, :])
-                else:
-                    scale = np.ones_like(x)
-                if i == k:
-                    yield pd.DataFrame({"idx": ni, "l2": np.nansum(x * scale, 1)})
-                    continue
-                yield pd.DataFrame({"idx": ni, "l2": np.nansum(x * scale, 1)})
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    back = 1 / scale if both_ways or not per_allele else scale
-                mirrored = products(b, a).T if exponent and both_ways else x
-                yield pd.DataFrame({"idx": nk, "l2": np.nansum(mirrored * back, 0)})
-
+    same, n_of = bool((anc1 == anc2).all()), [int(anc1.sum()), int(anc2.sum())]
+    inside = [m[anc1 | anc2] for m in (anc1, anc2)]
+    tiles = -(-len(inside[0]) // tile)
+    v = F.array_sort(F.collect_list(F.struct("idx", "g", "fill", "m1", "s1", "m2", "s2")))
+    blocks = _tiles(geno, [anc1, anc2], tile).groupBy(F.floor(F.col("idx") / size).cast("int").alias("chunk"), "tile").agg(v.alias("v"))
+    left = blocks.select(F.col("chunk").alias("i"), "tile", F.col("v").alias("vi"))
+    right = blocks.select(F.col("chunk").alias("k"), "tile", F.col("v").alias("vk"))
+    met = pairs.join(left, "i").join(right, ["k", "tile"])
+    n_anc = 1 if same else 2
+
+    def scored(i, k, a, b, r):
+        """(numbers, contributions) of both chunks, from the correlations of their variants by ancestry."""
+        both_ways = symmetric or k * size < first
+        scale_by = lambda sd, axis: np.expand_dims(sd**exponent, axis) if exponent else 1
+
+        def products(factor):
+            if same:
+                r2 = (r[0] * factor(0)) ** 2
+                return r2 - (1 - r2) / (n_of[0] - 2) if correct else r2
+            return r[0] * factor(0) * r[1] * factor(1)
+
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            x = products(lambda c: scale_by(b.sd[c], 0) if i != k or both_ways else 1)
+            scale = np.sqrt((a.variance(0) * a.variance(1))[:, None] / (b.variance(0) * b.variance(1))[None, :]) if per_allele else np.ones_like(x)
+            yield a.idx, np.nansum(x * scale, 1)
+            if i == k:
+                return
+            back = 1 / scale if both_ways or not per_allele else scale
+            mirrored = products(lambda c: scale_by(a.sd[c], 1)) if exponent and both_ways else x
+            yield b.idx, np.nansum(mirrored * back, 0)
+
+    def rows(found):
+        return [pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(l2, pa.float64())], ["idx", "l2"]) for idx, l2 in found]
+
+    def correlated(batch, row):
+        """(i, k, both chunks, this tile's part of the correlations by ancestry)"""
+        name = {n: c for c, n in enumerate(batch.schema.names)}
+        i, k, t = (batch.column(name[c])[row].as_py() for c in ("i", "k", "tile"))
+        own = [m[t * tile : (t + 1) * tile] for m in inside]
+        a, b = (_Chunk(batch.column(name[c])[row].values, own) for c in ("vi", "vk"))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            return i, k, a, b, [a.z[c] @ b.z[c].T / n_of[c] for c in range(n_anc)]
+
+    if tiles <= 1:
+        def whole(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    yield from rows(scored(*correlated(batch, row)))
+
+        out = met.mapInArrow(whole, "idx long, l2 double")
+    else:
+        # Tiles' parts are sums over people: a pair's are added up, a tile of them at a time, and the first one tells the variants.
+        def parts(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    i, k, a, b, r = correlated(batch, row)
+                    t = batch.column(batch.schema.names.index("tile"))[row].as_py()
+                    about = pickle.dumps([(x.idx, x.mean, x.sd) for x in (a, b)]) if t == 0 else None
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([k], pa.int32()), pa.array([about], pa.binary()), pa.array([np.stack(r).tobytes()], pa.binary())], ["i", "k", "about", "r"])
+
+        def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            about, total = None, None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    told = batch.column(2)[row].as_py()
+                    about = about or (told and pickle.loads(told))
+                    r = np.frombuffer(batch.column(3)[row].as_py())
+                    total = r if total is None else total + r
+            a, b = (_Told(*x) for x in about)
+            yield from rows(scored(key[0].as_py(), key[1].as_py(), a, b, list(total.reshape(n_anc, len(a.idx), len(b.idx)))))
+
+        out = met.mapInArrow(parts, "i int, k int, about binary, r binary").groupBy("i", "k").applyInArrow(added, "idx long, l2 double")
     # Sums in decimals don't hang on the order in which tasks end.
-    return met.mapInPandas(run, "idx long, l2 double").groupBy("idx").agg(F.sum(F.col("l2").cast("decimal(38,12)")).cast("double").alias("l2"))
+    return out.groupBy("idx").agg(F.sum(F.col("l2").cast("decimal(38,12)")).cast("double").alias("l2"))

@@ -6,6 +6,8 @@ import itertools
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
     anc = sorted({r["ancestry"] for r in who})
     of = np.array([r["ancestry"] for r in who])
     known = variants.join(sources, "SNP")
-    flags = geno.mapInPandas(_genotype_checks(of, anc, maf), "snp_idx long, ok_all boolean, ok array<boolean>, common array<boolean>")
+    flags = geno.select("snp_idx", F.col("dosage").cast("array<int>").alias("dosage")).mapInArrow(_genotype_checks(of, anc, maf), "snp_idx long, ok_all boolean, ok array<boolean>, common array<boolean>")
     # Read by every pair of ancestries; partitions that are lost are made again.
     meta = kept(known.join(flags, "snp_idx").select("snp_idx", "CHR", "SNP", "BP", "CM", *(F.col(a).cast("double").alias(f"has_{k}") for k, a in enumerate(anc)), "ok_all", "ok", "common"))
     combos = list(itertools.combinations_with_replacement(range(len(anc)), 2))
@@ -72,27 +74,45 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
 
 
 def _genotype_checks(of, anc, maf):
-    import pandas as pd
-
     combos = list(itertools.combinations_with_replacement(range(len(anc)), 2))
+    masks = [(of == anc[a]) | (of == anc[b]) for a, b in combos]
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            g = np.array([[np.nan if y is None else y for y in x] for x in pdf["dosage"]], float)
-            ok, common = [], []
-            for a, b in combos:
-                own = g[:, (of == anc[a]) | (of == anc[b])]
-                ok.append(ldscore.maf_ok(own, maf))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    f = np.nanmean(own, 1) / 2
-                common.append(np.minimum(f, 1 - f) > 0.05)
-            yield pd.DataFrame({"snp_idx": pdf["snp_idx"], "ok_all": ldscore.maf_ok(g, maf), "ok": np.array(ok).T.tolist(), "common": np.array(common).T.tolist()})
+        for batch in batches:
+            n = batch.num_rows
+            step = max(1, ldscore.AT_ONCE // max(1, len(of)))
+            flat = pc.fill_null(batch.column(1).flatten(), -1).to_numpy(zero_copy_only=False).reshape(n, -1) if n else None
+            for at in range(0, n, step):
+                g = flat[at : at + step].astype(float)
+                g[g < 0] = np.nan
+                ok, common = [], []
+                for mask in masks:
+                    own = g[:, mask]
+                    ok.append(ldscore.maf_ok(own, maf))
+                    common.append(ldscore.smaller_frequency(own) > 0.05)
+                lists = lambda x: pa.array(np.array(x).T.tolist(), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), pa.array(ldscore.maf_ok(g, maf)), lists(ok), lists(common)], ["snp_idx", "ok_all", "ok", "common"])
 
     return run
 
 
+def matching(df: DataFrame, wanted: DataFrame, key: str, what: str) -> DataFrame:
+    """Rows of a list of ids; a list that no row matches is an error."""
+    out = df.join(wanted, key, "left_semi")
+    if out.isEmpty():
+        raise ValueError(f"nothing matches {what}")
+    return out
+
+
+def zero_scores(scores: DataFrame) -> dict[str, int]:
+    """How many variants have no score, of pairs of ancestries that have such: zero is written as null."""
+    names = [c for c, t in scores.dtypes if t == "double" and c not in ("BP", "CM") and not c.endswith(SIZES)]
+    if not names:
+        return {}
+    got = scores.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in names)).first()
+    return {c: got[c] for c in names if got[c]}
+
+
 def restrict(scores: DataFrame, print_snps: DataFrame | None = None, cross_only: bool = False) -> DataFrame:
     """Rows of a list of ids; or only those with a score between two ancestries."""
     if print_snps is not None:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,9 +46,21 @@ def ancestry_map(spark: SparkSession, path: str) -> DataFrame:
 
 def decode(packed: bytes, n: int) -> np.ndarray:
     """Dosages of n people from packed bytes, the lowest two bits first."""
-    b = np.frombuffer(packed, np.uint8)
-    codes = (b[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
-    return DOSAGE[codes.ravel()[:n]]
+    return decoded(np.frombuffer(packed, np.uint8)[None, :], n)[0]
+
+
+def decoded(rows: np.ndarray, n: int) -> np.ndarray:
+    """Dosages [variant, person] of n people from packed rows [variant, byte], MISSING where not called."""
+    codes = (rows[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+    return DOSAGE[codes.reshape(len(rows), -1)[:, :n]]
+
+
+def as_lists(first: int, g: np.ndarray) -> pa.RecordBatch:
+    """(snp_idx, dosage) of consecutive variants."""
+    n, people = g.shape
+    flat = pa.array(g.astype(np.int32).ravel(), pa.int32(), mask=(g == MISSING).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * people), flat)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), lists], ["snp_idx", "dosage"])
 
 
 class _Range(InputPartition):
@@ -52,32 +68,47 @@ class _Range(InputPartition):
         self.first, self.last = first, last
 
 
+#: Dosages that make a batch.
+BATCH = 1 << 21
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, people: int, variants: int, step: int):
-        self.path, self.people, self.variants, self.step = path, people, variants, step
+    """Ranges of variants, each read by one seek from any file system that Arrow knows; of people only those wanted."""
+
+    def __init__(self, path: str, people: int, variants: int, step: int, wanted: np.ndarray | None, within: tuple[int, int]):
+        self.path, self.people, self.variants, self.step, self.wanted, self.within = path, people, variants, step, wanted, within
         self.width = (people + 3) // 4
 
+    def _open(self):
+        fs, path = FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (LocalFileSystem(), self.path)
+        return fs.open_input_file(path)
+
     def partitions(self):
-        with open(self.path, "rb") as f:
+        with self._open() as f:
             if f.read(2) != MAGIC:
                 raise SourceError(f"{self.path} isn't a packed genotype file")
             if f.read(1) != BY_VARIANT:
                 raise SourceError(f"{self.path} isn't ordered by variant")
-            if f.seek(0, 2) != 3 + self.width * self.variants:
+            if f.size() != 3 + self.width * self.variants:
                 raise SourceError(f"{self.path} hasn't the length of {self.variants} variants and {self.people} people")
-        return [_Range(i, min(i + self.step, self.variants)) for i in range(0, self.variants, self.step)]
+        first, last = max(0, self.within[0]), min(self.variants, self.within[1])
+        return [_Range(i, min(i + self.step, last)) for i in range(first, last, self.step)]
 
     def read(self, part):
-        with open(self.path, "rb") as f:
+        rows = max(1, BATCH // max(1, self.people))
+        with self._open() as f:
             f.seek(3 + part.first * self.width)
-            for j in range(part.first, part.last):
-                yield j, [None if x == MISSING else int(x) for x in decode(f.read(self.width), self.people)]
+            for j in range(part.first, part.last, rows):
+                n = min(rows, part.last - j)
+                g = decoded(np.frombuffer(f.read(n * self.width), np.uint8).reshape(n, self.width), self.people)
+                yield as_lists(j, g if self.wanted is None else g[:, self.wanted])
 
 
 class PackedGenotypes(DataSource):
     """spark.read.format("packed_genotypes").option("path", bed).option("people", n).option("variants", m).load()
 
-    Ranges of variants are read in parallel, each by a seek. The path has to be one that every executor sees; bed() reads any path.
+    Ranges of variants (option step) are read in parallel. Options first and last restrict the variants, and kept, a base64
+    bitmap of people with the highest bit first, the people. The path has to be one that Arrow opens on every executor; bed() reads any path.
     """
 
     @classmethod
@@ -89,33 +120,56 @@ class PackedGenotypes(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return _Reader(o["path"], int(o["people"]), int(o["variants"]), int(o.get("step", 1000)))
+        people, variants = int(o["people"]), int(o["variants"])
+        wanted = np.flatnonzero(np.unpackbits(np.frombuffer(base64.b64decode(o["kept"]), np.uint8))[:people]) if "kept" in o else None
+        return _Reader(o["path"], people, variants, int(o.get("step", 1000)), wanted, (int(o.get("first", 0)), int(o.get("last", variants))))
+
+
+def bitmap(places, people: int) -> str:
+    """The option kept from places of people."""
+    bits = np.zeros(people, np.uint8)
+    bits[np.asarray(places, np.int64)] = 1
+    return base64.b64encode(np.packbits(bits).tobytes()).decode()
 
 
-def bed(spark: SparkSession, path: str, people: int, variants: int) -> DataFrame:
+def arrow_opens(path: str) -> bool:
+    """Whether Arrow has a file system for the path; others are read through Spark's."""
+    if "://" not in path and not path.startswith("file:"):
+        return True
+    try:
+        FileSystem.from_uri(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def bed(spark: SparkSession, path: str, people: int, variants: int, kept=None, first: int = 0, last: int | None = None) -> DataFrame:
     """snp_idx and dosage (copies of the second allele, null where missing), from any file system that Spark reads.
 
-    Reads fixed-length records after a check of the file's length and first bytes.
+    kept: places of the people whose dosages are wanted, in order; first and last: a range of variants. Both are read no further than
+    asked for. A file system that Arrow doesn't know is read by Spark's whole-file source, which holds files up to 2 GB, in one task.
     """
-    import math
-
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
-    if "://" not in path or path.startswith("file:"):
+    last = variants if last is None else min(last, variants)
+    if arrow_opens(path):
         spark.dataSource.register(PackedGenotypes)
-        return spark.read.format("packed_genotypes").option("path", path.removeprefix("file://")).option("people", people).option("variants", variants).load()
-    width = math.ceil(people / 4)
-    if fs.getFileStatus(jvm).getLen() != 3 + width * variants:
+        read = spark.read.format("packed_genotypes").option("path", path).option("people", people).option("variants", variants).option("first", first).option("last", last)
+        return (read if kept is None else read.option("kept", bitmap(kept, people))).load()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    width = (people + 3) // 4
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() != 3 + width * variants:
         raise SourceError(f"{path} hasn't the length of {variants} variants and {people} people")
-    whole = spark.read.format("binaryFile").load(path).select("content")
+    wanted = None if kept is None else np.sort(np.asarray(kept, np.int64))
 
     def run(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                if content[:3] != MAGIC + BY_VARIANT:
+        for batch in batches:
+            for content in batch.column(0):
+                data = memoryview(content.as_buffer())
+                if bytes(data[:3]) != MAGIC + BY_VARIANT:
                     raise SourceError(f"{path} isn't a packed genotype file ordered by variant")
-                for j in range(variants):
-                    g = decode(content[3 + j * width : 3 + (j + 1) * width], people)
-                    yield __import__("pandas").DataFrame({"snp_idx": [j], "dosage": [[None if x == MISSING else int(x) for x in g]]})
+                rows = max(1, BATCH // max(1, people))
+                for j in range(first, last, rows):
+                    n = min(rows, last - j)
+                    g = decoded(np.frombuffer(data[3 + j * width : 3 + (j + n) * width], np.uint8).reshape(n, width), people)
+                    yield as_lists(j, g if wanted is None else g[:, wanted])
 
-    return whole.mapInPandas(run, "snp_idx long, dosage array<int>")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "snp_idx long, dosage array<int>")

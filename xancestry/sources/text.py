@@ -110,6 +110,14 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.trim("value").alias("SNP"))
 
 
+def one_column(spark: SparkSession, path: str) -> DataFrame:
+    """As ids(), of a file that has one column; more are an error."""
+    d = ids(spark, path)
+    if wide := d.where(F.size(F.split("SNP", r"\s+")) > 1).head(1):
+        raise SourceError(f"{path} has more than one column: {wide[0]['SNP']!r}")
+    return d
+
+
 def matrix(path: str, size: int) -> np.ndarray:
     """size * size numbers, tab-separated, row by row, from a small file on the driver."""
     with open(path) as f:
