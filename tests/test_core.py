@@ -103,6 +103,67 @@ def test_regression():
             regression.constraint(2, bad)
 
 
+def tweaked_by_hand(m):
+    d = np.diag(m).copy()
+    out = np.minimum(m, np.outer(np.sqrt(d), np.sqrt(d)))
+    np.fill_diagonal(out, d)
+    while (np.linalg.eigvalsh(out) < 0).any():
+        out = out * 0.99
+        np.fill_diagonal(out, d)
+    return out
+
+
+@pytest.mark.parametrize("n_", [1, 2, 3, 5])
+def test_matrices_in_batches(n_):
+    """One by one and all together come to the same, clamped from above, shrunk from below, or neither; factors are told as the library tells them."""
+    rng = np.random.default_rng(n_)
+    m = rng.normal(size=(400, n_, n_)) * 2
+    m = m + m.transpose(0, 2, 1)
+    m[:, np.arange(n_), np.arange(n_)] = np.abs(m[:, np.arange(n_), np.arange(n_)])
+    m[::50, 0, 0], m[3::50] = -1.0, 3 * np.eye(n_)
+    before = m.copy()
+    got, ok, tweaked = gls.check_omega(m)
+    assert (m == before).all()
+    for i, x in enumerate(m):
+        fine, positive = (np.linalg.eigvalsh(x) >= 0).all(), (np.diag(x) > 0).all()
+        assert (ok[i], tweaked[i]) == (fine or positive, positive and not fine)
+        assert (got[i] == (tweaked_by_hand(x) if tweaked[i] else x)).all()
+    if n_ > 1:
+        assert tweaked.any() and (~ok).any() and any((x != y).any() and (np.abs(x) <= np.abs(y)).all() for x, y in zip(got, m))
+    low = rng.normal(size=(300, n_, n_))
+    si = low @ low.transpose(0, 2, 1)
+    si[::3] -= np.eye(n_) * 0.3
+    si[1::7, 0, :] = si[1::7, :, 0] = 0  # on the edge
+    si[2::11] = np.nan
+    edge = np.ones((1, n_, n_))
+    si = np.concatenate([si, edge, edge * 1e-200, np.zeros_like(edge), np.full_like(edge, np.inf)])
+    assert gls.check_sigma(si).tolist() == [gls._has_factor(x) for x in si]
+    assert gls.check_sigma(si[:0]).tolist() == [] and gls.check_omega(m[:0])[0].shape == (0, n_, n_)
+
+
+def test_tweaked_estimates_by_hand(spark):
+    """The query of five populations whose matrices have to be tweaked, row by row."""
+    from xancestry import queries as Q
+
+    sf, n = "/root/testdata/sf0.001", 5
+    coef, se2, const = 0.01 + 0.01 * np.eye(n), Q.SE2_5, Q.CONST5
+    want, changed = {}, 0
+    for r in Q._collated(spark, sf, n).select("SNP", "beta", "se", "ld").collect():
+        om, se, b = np.array(r["ld"]).reshape(n, n) * coef, np.array(r["se"]), np.array(r["beta"])
+        si = np.outer(se, se) * se2 + const
+        if (np.linalg.eigvalsh(om) < 0).any():
+            om, changed = tweaked_by_hand(om), changed + 1
+        for p in range(n):
+            w = om[:, p] / om[p, p]
+            c = np.linalg.inv(om - np.outer(om[:, p], om[p]) / om[p, p] + si)
+            want[r["SNP"], p] = (w @ c @ b / (w @ c @ w), (w @ c @ w) ** -0.5)
+    got = Q.gls_p5_tweaked(spark, sf).collect()
+    assert changed >= 3 and len(got) * n == len(want)
+    for r in got:
+        for p in range(n):
+            assert (r[f"beta{p}"], r[f"se{p}"]) == pytest.approx(want[r["SNP"], p], abs=2e-6)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_distributed_regression_equals_direct(spark, n):
     rng = np.random.default_rng(n)
@@ -276,7 +337,7 @@ def test_command_line(spark, tmp_path):
     base.to_csv(tmp_path / "one.txt", sep="\t", index=False)
     pd.DataFrame({"SNP": base["SNP"], "E_E": 1 + rng.integers(0, 3, m)}).to_csv(tmp_path / "x.l2.ldscore", sep="\t", index=False)
     out = tmp_path / "out"
-    assert cli.main(["meta", "--sumstats", f"{tmp_path}/one.txt,E,T", "--ld-scores", f"{tmp_path}/*.ldscore", "--out", str(out), "--out-reg-coef", "--out-harmonized", "--reg-ld-unc"]) == 0
+    assert cli.main(["meta", "--sumstats", f"{tmp_path}/one.txt,E,T", "--ld-scores", f"{tmp_path}/*.ldscore", "--out", str(out), "--out-reg-coef", "--out-harmonized", "--reg-ld-unc", "--verbose"]) == 0
     res = pd.read_csv(f"{out}_E_T.res", sep="\t")
     both = base.merge(res, on="SNP", suffixes=("_in", ""))
     assert list(res.columns) == ["SNP", "CHR", "BP", "A1", "A2", "FREQ", "BETA", "SE", "Z", "P", "N_EFF", "N_ORIG"] and len(res) == m
@@ -284,11 +345,26 @@ def test_command_line(spark, tmp_path):
     assert res["CHR"].is_monotonic_increasing
     coef = [float((tmp_path / f"out_{k}_reg.cf").read_text()) for k in ("int", "se2")]
     assert np.isclose(*coef), "a constant SE shares its weight with the intercept"
+    told = (tmp_path / "out.log").read_text()
+    z = both["BETA_in"].to_numpy()
+    assert f"mean chi-squared {(z**2).mean():.6f}"[:30] in told and "set: reg_ld_unc = True" in told and "default: freq_bounds = (0.01, 0.99)" in told and "took " in told
+    assert "NO NAN drops []" in told and "duplicates []" in told
     hrm = pd.read_csv(f"{out}_E_T.hrm", sep="\t")
     assert list(hrm.columns) == ["SNP", "CHR", "BP", "A1", "A2", "N", "FREQ", "BETA", "SE", "P"] and len(hrm) == m and (hrm["P"] == 0.5).all()
     assert cli.main(["meta", "--sumstats", f"{tmp_path}/none.txt,E,T", "--ld-scores", f"{tmp_path}/*.ldscore", "--out", str(out)]) == 1
 
 
+def test_reports(spark):
+    assert [sinks.elapsed(x) for x in (3.21, 60, 3661.5, 90061)] == ["3.2s", "1m:0.0s", "1h:1m:1.5s", "1d:1h:1m:1.0s"]
+    d = rows(spark, SNP=[f"rs{i}" for i in range(60)] + ["rs59"], SE=[-1.0] * 52 + [1.0] * 9)
+    ck = quality.qc_sumstats(d)
+    assert len(ck.dropped("SE BOUNDS")) == 51 and ck.dropped("SE BOUNDS")[-1] == "..." and ck.dropped("NO NAN") == [] and ck.repeated() == ["rs59"]
+    from xancestry import cli
+
+    argv = ["ldscores", "--out", "x", "--bfile-merged-path=y", "--ances-path", "z", "--snp-ances", "s", "--ld-wind-cm", "1", "--maf", "0"]
+    assert cli.chosen(argv, cli.parser().parse_args(argv)) == {"out": "x", "bfile_merged_path": "y", "ances_path": "z", "snp_ances": "s", "ld_wind_cm": 1.0, "maf": 0.0}
+
+
 def test_output_prefix(tmp_path):
     from xancestry.plans import sinks
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
 import time
@@ -65,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
         g.add_argument(f"--replace-{c.lower()}-col-match", metavar="REGEX")
     s = sub.add_parser("ldscores", help="LD scores from genotypes")
     s.add_argument("--out", required=True, type=sinks.output_prefix)
+    s.add_argument("--stream-stdout", action="store_true", help="the log on the console too")
     s.add_argument("--bfile-merged-path", required=True)
     s.add_argument("--ances-path", required=True)
     s.add_argument("--snp-ances", required=True)
@@ -115,7 +117,13 @@ def run_meta(spark: SparkSession, a: argparse.Namespace, log) -> None:
     r = meta.run(spark, sumstats, lds, a.snp_list, maps, by, fs, standardised_units=a.use_standardized_units, sep=a.input_sep, **options(a, len(sumstats)))
     for pop, ck in r.checks.items():
         log.info("%s: %s", pop, {x["filter"]: x["dropped"] for x in ck.metrics().collect()})
+        if log.isEnabledFor(logging.DEBUG):
+            for name in (n for n, c in ck.flags.items() if c):
+                log.debug("%s: %s drops %s", pop, name, ck.dropped(name))
+            log.debug("%s: duplicates %s", pop, ck.repeated())
     log.info("matrices: %s", r.counts())
+    for pop, (before, after) in r.mean_chi_sq().items():
+        log.info("%s: mean chi-squared %s before, %s after", pop, before, after)
     for i, ((x, y), t) in enumerate(r.tables.items()):
         sinks.write_results(t, f"{a.out}_{x}_{y}.res")
         if a.out_harmonized:
@@ -147,10 +155,21 @@ def run_ld(spark: SparkSession, a: argparse.Namespace, log) -> None:
     sinks.write_counts(counts, a.out)
 
 
+def chosen(argv: list[str], a: argparse.Namespace) -> dict[str, object]:
+    """The options that stand on the command line, whole or cut short, with their values."""
+    given = [x[2:].split("=")[0].replace("-", "_") for x in argv if x.startswith("--")]
+    return {k: v for k, v in vars(a).items() if k != "command" and any(k == g or k.startswith(g) and g not in vars(a) for g in given)}
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
     a = parser().parse_args(argv)
-    log = sinks.logger(f"{a.out}.log", 40 if getattr(a, "quiet", False) else 10 if getattr(a, "verbose", False) else 20)
-    log.info("xancestry %s", " ".join(argv if argv is not None else sys.argv[1:]))
+    log = sinks.logger(f"{a.out}.log", 40 if getattr(a, "quiet", False) else 10 if getattr(a, "verbose", False) else 20, getattr(a, "stream_stdout", True))
+    log.info("xancestry %s", " ".join(argv))
+    set_by_user = chosen(argv, a)
+    for kind, options_ in (("set", set_by_user), ("default", {k: v for k, v in vars(a).items() if k != "command" and k not in set_by_user and v not in (None, False)})):
+        for k, v in options_.items():
+            log.log(logging.INFO if kind == "set" else logging.DEBUG, "%s: %s = %s", kind, k, v)
     began = time.time()
     spark = SparkSession.builder.appName("xancestry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     os.environ.setdefault("OMP_NUM_THREADS", "1")
@@ -159,7 +178,7 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:
         log.error("%s", e)
         return 1
-    log.info("%.1f s", time.time() - began)
+    log.info("took %s", sinks.elapsed(time.time() - began))
     return 0
 
 

@@ -28,16 +28,25 @@ def sigma(se: Column, se2: np.ndarray, const: np.ndarray) -> Column:
     return F.array(*(se[p] * se[q] * F.lit(float(se2[p, q])) + F.lit(float(const[p, q])) for p in range(n) for q in range(n)))
 
 
+def _with_diagonal(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    at = np.arange(m.shape[-1])
+    m[..., at, at] = d
+    return m
+
+
 def tweak(m: np.ndarray) -> np.ndarray:
-    """Off-diagonals at most the roots' product, then shrunk until no eigenvalue is negative."""
-    d = np.diag(m).copy()
+    """Of a matrix, or of each of a stack: off-diagonals at most the roots' product, then shrunk until no eigenvalue is negative.
+
+    A stack is shrunk together; at each step only the matrices that still have a negative eigenvalue go on.
+    """
+    stack = m[None] if m.ndim == 2 else m
+    d = np.diagonal(stack, axis1=-2, axis2=-1).copy()
     root = np.sqrt(d)
-    out = np.minimum(m, np.outer(root, root))
-    np.fill_diagonal(out, d)
-    while (np.linalg.eigvalsh(out) < 0).any():
-        out = out * SHRINK
-        np.fill_diagonal(out, d)
-    return out
+    out = _with_diagonal(np.minimum(stack, root[:, :, None] * root[:, None, :]), d)
+    active = np.arange(len(out))
+    while len(active := active[(np.linalg.eigvalsh(out[active]) < 0).any(-1)]):
+        out[active] = _with_diagonal(out[active] * SHRINK, d[active])
+    return out[0] if m.ndim == 2 else out
 
 
 def check_omega(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,25 +55,37 @@ def check_omega(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     good = (np.linalg.eigvalsh(m) >= 0).all(1) if len(m) else np.zeros(0, bool)
     positive = (np.diagonal(m, axis1=1, axis2=2) > 0).all(1)
     tweaked = ~good & positive
-    for i in np.flatnonzero(tweaked):
-        m[i] = tweak(m[i])
+    if tweaked.any():
+        m[tweaked] = tweak(m[tweaked])
     return m, good | tweaked, tweaked
 
 
-def check_sigma(m: np.ndarray) -> np.ndarray:
-    """Which have a Cholesky factor."""
+#: Pivots within this share of their diagonal are too near 0 for elimination by column to tell what the library's factorisation says.
+DOUBT = 1e-9
+
+
+def _has_factor(m: np.ndarray) -> bool:
     try:
         np.linalg.cholesky(m)
-        return np.ones(len(m), bool)
+        return True
     except np.linalg.LinAlgError:
-        out = np.zeros(len(m), bool)
-        for i, x in enumerate(m):
-            try:
-                np.linalg.cholesky(x)
-                out[i] = True
-            except np.linalg.LinAlgError:
-                pass
-        return out
+        return False
+
+
+def check_sigma(m: np.ndarray) -> np.ndarray:
+    """Which have a Cholesky factor: all columns of all matrices at once; single matrices are factored only where a pivot is in doubt."""
+    n = m.shape[-1]
+    factor, ok, doubt = np.zeros_like(m), np.ones(len(m), bool), np.zeros(len(m), bool)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for j in range(n):
+            rest = m[:, j:, j] - (factor[:, j:, :j] @ factor[:, j, :j, None])[:, :, 0]
+            near = ~(np.abs(rest[:, 0]) > DOUBT * np.abs(m[:, j, j])) | ~np.isfinite(rest[:, 0])
+            doubt |= ok & near
+            ok &= rest[:, 0] > 0
+            factor[:, j:, j] = rest / np.sqrt(rest[:, :1])
+    for i in np.flatnonzero(doubt):
+        ok[i] = _has_factor(m[i])
+    return ok
 
 
 def estimate(beta: np.ndarray, om: np.ndarray, si: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -54,6 +54,11 @@ def filters(freq=FREQUENCIES, chromosomes=CHROMOSOMES, palindromic: bool = False
     return out
 
 
+def _some(df: DataFrame, most: int) -> list[str]:
+    got = [r[0] for r in df.select("SNP").limit(most + 1).collect()]
+    return [*got[:most], "..."] if len(got) > most else got
+
+
 @dataclass
 class Checked:
     """Rows that pass, and every row with its flags (columns of `flags` by filter name); optional filters that can't be resolved are None."""
@@ -72,8 +77,12 @@ class Checked:
         return got.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
 
     def dropped(self, name: str, most: int = 50) -> list[str]:
-        """The first ids that a filter drops, for a log."""
-        return [r[0] for r in self.flagged.where(self.flags[name]).select("SNP").limit(most).collect()]
+        """Ids that a filter drops, for a log: `most` of them, and "..." if there are more."""
+        return _some(self.flagged.where(self.flags[name]), most)
+
+    def repeated(self, most: int = 50) -> list[str]:
+        """The same of rows that go as duplicates."""
+        return _some(self.duplicates, most) if self.duplicates is not None else []
 
 
 def run_filters(df: DataFrame, required: dict[str, tuple[Filter, str]], optional: dict[str, tuple[Filter, str]] | None = None) -> Checked:

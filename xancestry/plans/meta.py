@@ -32,6 +32,13 @@ class Result:
         """Variants that were adjusted or dropped by the checks of their matrices."""
         return self.work.agg(F.count("*").alias("variants"), F.count_if("om_tweaked").alias("tweaked"), F.count_if(~F.col("om_ok")).alias("omega_dropped"), F.count_if(~F.col("si_ok")).alias("sigma_dropped"), F.count_if(~(F.col("om_ok") & F.col("si_ok"))).alias("dropped")).first().asDict()
 
+    def mean_chi_sq(self) -> dict[tuple[str, str], tuple[float | None, float | None]]:
+        """By population, before and after: over its harmonised variants, and over those whose matrices pass; one pass over each."""
+        pops = list(self.tables)
+        before = self.harmonised.agg(*(mean_chi_squared(F.col(f"p{i}.BETA") / F.col(f"p{i}.SE")).alias(f"m{i}") for i in range(len(pops)))).first()
+        after = self.work.where("om_ok and si_ok").agg(*(mean_chi_squared(F.col("new_beta")[i] / F.col("new_se")[i]).alias(f"m{i}") for i in range(len(pops)))).first()
+        return {pop: (before[i], after[i]) for i, pop in enumerate(pops)}
+
     def mean_omega(self) -> np.ndarray:
         return mean_matrix(self.work, "om")
 

@@ -57,15 +57,25 @@ def write_counts(counts: DataFrame, path: str) -> None:
             json.dump({f"{r['anc1']}_{r['anc2']}": r[c] for r in rows}, f, indent=1)
 
 
-def logger(path: str | None, level: int = logging.INFO) -> logging.Logger:
-    """Everything to a file, up to INFO to standard output, the rest to standard error."""
+def elapsed(seconds: float) -> str:
+    """Days, hours and minutes if there are any, and seconds: 1d:2h:3m:4.5s."""
+    whole, rest = divmod(seconds, 60)
+    parts = []
+    for unit, size in (("m", 60), ("h", 24)):
+        whole, n = divmod(int(whole), size)
+        parts.insert(0, f"{n}{unit}:" if n else "")
+    return (f"{whole}d:" if whole else "") + "".join(parts) + f"{rest:.1f}s"
+
+
+def logger(path: str | None, level: int = logging.INFO, console: bool = True) -> logging.Logger:
+    """Everything to a file; with console up to INFO to standard output too. Warnings and errors go to standard error."""
     log = logging.getLogger("xancestry")
     log.setLevel(level)
     log.handlers.clear()
     out, err = logging.StreamHandler(sys.stdout), logging.StreamHandler(sys.stderr)
     out.addFilter(lambda r: r.levelno <= logging.INFO)
     err.setLevel(logging.WARNING)
-    for h in (out, err, *([logging.FileHandler(path, "w")] if path else [])):
+    for h in (*([out] if console else []), err, *([logging.FileHandler(path, "w")] if path else [])):
         h.setFormatter(logging.Formatter("%(message)s"))
         log.addHandler(h)
     return log

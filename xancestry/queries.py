@@ -469,6 +469,16 @@ def meta_one_population(spark, sf):
     return r.tables["R0", "T"].select("SNP", *_r("Z", "N_EFF"))
 
 
+_U = "sqrt(2 * f0 * (1 - f0))"
+
+
+@query(f"{H1} SELECT SNP, round(b0, 6) + 0 AS BETA, round(sqrt(1.1::DOUBLE * s0 * s0 * 2 * f0 * (1 - f0) + 0.01) / {_U}, 6) AS SE, round(b0 * {_U} / sqrt(1.1::DOUBLE * s0 * s0 * 2 * f0 * (1 - f0) + 0.01), 6) + 0 AS Z, round(n0, 6) AS N_EFF FROM h")
+def meta_standardised(spark, sf):
+    """Worked in units of a genotype's deviation, and effects and errors written back in those of the source."""
+    r = _analysis(spark, sf, 1, ld_option=LD_COEF[:1, :1], se2_option=SE2_COEF[:1, :1], const_option=CONST[:1, :1], standardised_units=True)
+    return r.tables["R0", "T"].select("SNP", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("BETA", "Z")), *_r("SE", "N_EFF"))
+
+
 # Genotypes and LD scores
 
 GENO = f"WITH {synth.GENO_SQL}"
