@@ -8,7 +8,7 @@ import os
 import sys
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,17 @@ def _single(df: DataFrame, path: str, **options) -> None:
     fs.delete(Path(folder), True)
 
 
+def _text(path: str, s: str) -> None:
+    """A small text as the file of that name, on any file system."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(s.encode()))
+    finally:
+        out.close()
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """By chromosome as text, position and id; tab-separated, NaN for null."""
     _single(df.orderBy("CHR", "BP", "SNP"), path, sep="\t", header="true", nullValue="NaN", emptyValue="")
@@ -38,8 +49,7 @@ def write_harmonised(h: DataFrame, i: int, has_n: bool, path: str, has_info: boo
 
 def write_coefficients(m: np.ndarray, path: str) -> None:
     """Row by row on one line, tab-separated, without a newline."""
-    with open(path, "w") as f:
-        f.write("\t".join(repr(float(x)) for x in m.ravel()))
+    _text(path, "\t".join(repr(float(x)) for x in m.ravel()))
 
 
 def write_ldscores(scores: DataFrame, path: str) -> None:
@@ -53,8 +63,7 @@ def write_counts(counts: DataFrame, path: str) -> None:
     """path.l2.M.json and path.l2.M_5_50.json: numbers of variants by pair of ancestries."""
     rows = counts.orderBy("anc1", "anc2").collect()
     for name, c in (("M", "m"), ("M_5_50", "m_5_50")):
-        with open(f"{path}.l2.{name}.json", "w") as f:
-            json.dump({f"{r['anc1']}_{r['anc2']}": r[c] for r in rows}, f, indent=1)
+        _text(f"{path}.l2.{name}.json", json.dumps({f"{r['anc1']}_{r['anc2']}": r[c] for r in rows}, indent=1))
 
 
 def elapsed(seconds: float) -> str:

@@ -119,9 +119,9 @@ def one_column(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix(path: str, size: int) -> np.ndarray:
-    """size * size numbers, tab-separated, row by row, from a small file on the driver."""
-    with open(path) as f:
-        got = np.array([float(x) for x in f.read().split()])
+    """size * size numbers, tab-separated, row by row, from a small file."""
+    rows = SparkSession.active().read.text(path, wholetext=True).collect()
+    got = np.array([float(x) for r in rows for x in r["value"].split()])
     if got.size != size * size:
         raise SourceError(f"{path} has {got.size} numbers instead of {size * size}")
     return got.reshape(size, size)
