@@ -53,21 +53,30 @@ def estimate(spark: SparkSession, variants: DataFrame, people: DataFrame, geno:
     own = [(F.col(f"has_{a}") != 0) & (F.col(f"has_{b}") != 0) & F.col("ok")[at] for at, (a, b) in enumerate(combos)]
     got = meta.agg(*(F.count_if(x).alias(f"m_{at}") for at, x in enumerate(own)), *(F.count_if(x & F.col("common")[at]).alias(f"c_{at}") for at, x in enumerate(own))).first()
     counts = [(anc[a], anc[b], got[f"m_{at}"], got[f"c_{at}"]) for at, (a, b) in enumerate(combos)]
-    frames = []
+    # Variants of all pairs are numbered together, and their windows found together: pair by pair, from the sum of the counts before.
+    start = [sum(got[f"m_{i}"] for i in range(at)) for at in range(len(combos))]
+    tagged = meta.select("snp_idx", "BP", "CM", F.explode(F.array(*(F.when(x, F.lit(at)) for at, x in enumerate(own)))).alias("pair")).where("pair is not null")
+    number = kept(numbering.dense(tagged, [F.col("pair"), F.floor(F.col("snp_idx") / NUMBERED)], [F.col("snp_idx")], "place"))
+    x = F.col("place") if reach[1] == "idx" else F.col(reach[1])
+    near = kept(numbering.bounds(number.select(F.col("place").alias("idx"), x.cast("double").alias("x"), "pair"), reach[0], by="pair"))
+    frames, columns = [], []
     for at, (a, b) in enumerate(combos):
-        name = f"{anc[a]}_{anc[b]}"
         if not got[f"m_{at}"]:
             continue
-        number = kept(numbering.dense(meta.where(own[at]).select("snp_idx", "BP", "CM"), [F.floor(F.col("snp_idx") / NUMBERED)], [F.col("snp_idx")], "idx"))
-        x = F.col(reach[1]).cast("double")
-        near = kept(numbering.bounds(number.select("idx", x.alias("x")), reach[0]))
-        scored = ldscore.pair_scores(geno.join(number.select("snp_idx", "idx"), "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], near, chunk, per_allele, correct, symmetric, exponent)
-        scored = scored.join(number.select("snp_idx", "idx"), "idx")
+        name, of_pair = f"{anc[a]}_{anc[b]}", F.col("pair") == at
+        own_idx = number.where(of_pair).select("snp_idx", (F.col("place") - start[at]).alias("idx"))
+        lefts = near.where((F.col("idx") >= start[at]) & (F.col("idx") < start[at] + got[f"m_{at}"])).select((F.col("idx") - start[at]).alias("idx"), (F.col("left") - start[at]).alias("left"))
+        scored = ldscore.pair_scores(geno.join(own_idx, "snp_idx").select("idx", "dosage"), of == anc[a], of == anc[b], lefts, chunk, per_allele, correct, symmetric, exponent)
+        frames.append(scored.select((F.col("idx") + start[at]).alias("place"), "l2"))
+        columns.append(F.max(F.when(of_pair, F.nullif("l2", F.lit(0.0)))).alias(name))
         if sizes:
-            scored = scored.join(near.select("idx", "size"), "idx")
-        frames.append(scored.select("snp_idx", F.nullif("l2", F.lit(0.0)).alias(name), *([F.col("size").cast("double").alias(name + SIZES)] if sizes else [])))
-    base = meta.where("ok_all").select("snp_idx", "CHR", "SNP", "BP")
-    out = reduce(lambda x, y: x.join(y, "snp_idx", "left"), frames, base)
+            columns.append(F.max(F.when(of_pair, F.col("size").cast("double"))).alias(name + SIZES))
+    out = meta.where("ok_all").select("snp_idx", "CHR", "SNP", "BP")
+    if frames:
+        scored = reduce(DataFrame.union, frames).join(number.select("place", "pair", "snp_idx"), "place")
+        if sizes:
+            scored = scored.join(near.select(F.col("idx").alias("place"), "size"), "place")
+        out = out.join(scored.groupBy("snp_idx").agg(*columns), "snp_idx", "left")
     order = [f"{anc[a]}_{anc[b]}" for a, b in combos if a != b] + [f"{x}_{x}" for x in anc]
     order += [c + SIZES for c in order]
     return out.select("snp_idx", "CHR", "SNP", "BP", *(c for c in order if c in out.columns)), spark.createDataFrame(counts, "anc1 string, anc2 string, m long, m_5_50 long")
