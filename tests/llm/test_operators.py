@@ -456,6 +456,35 @@ def test_near_copies_of_the_pipeline(spark, odd, none):
     assert kept.schema == odd.schema and kept.count() == len(groups) and minhash.one_of_each(none).count() == 0
 
 
+def test_near_copies_of_a_shared_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join([*words[:30], f"z{k}", *words[30:]]) + f" {k} own words of this one " * (k % 7 * 3)
+    rows = [(5, text(k), "x") for k in range(40)] + [(5, text(3), "x")] * 3 + [(k, text(k % 20), "y") for k in range(10, 60)] + [(None, text(1), None), (None, "alone here", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `Fp` string")
+    own = [(r[0], set(minhash.shingles(r[1]).tolist())) for r in rows]
+    group = list(range(len(own)))
+    for i, (_, a) in enumerate(own):
+        for j, (_, b) in enumerate(own[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {}
+    for g, (k, _) in zip(group, own):
+        want[g] = min((x for x in (want.get(g), k) if x is not None), default=None)
+    out = minhash.one_of_each(d)
+    got = out.collect()
+    assert out.schema == d.schema and Counter(r["doc_id"] for r in got) == Counter(want.values()) and 1 < len(want) < len(rows)
+    fits, rng = minhash.may_reach(0.8), np.random.default_rng(3)
+    pairs = []
+    for _ in range(400):
+        n = int(rng.integers(20, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: int(0.9 * len(a))], rng.integers(0, 1 << 63, max(1, n // 12)).astype(np.uint64))))
+        if minhash.similarity(a, b) >= 0.8:
+            pairs.append([(len(x), *np.frombuffer(minhash.bands(x)[1].ljust(16, b"\0"), "<i8").tolist()) for x in (a, b)])
+    kind = "struct<n:long,lo:long,hi:long>"
+    assert len(pairs) > 100 and spark.createDataFrame(pairs, f"a {kind}, b {kind}").where(~fits(F.col("a"), F.col("b"))).isEmpty()
+
+
 # 7
 
 
