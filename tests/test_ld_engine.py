@@ -200,3 +200,21 @@ def test_command_line_of_ld_scores(spark, tmp_path):
     for flag, name, text, said in (("--ld-keep", "nobody", "nobody\n", "nothing matches"), ("--ld-extract", "none", "none\n", "nothing matches"), ("--print-snps", "two", "rs1 rs2\n", "more than one column")):
         assert cli.main([*base, "--out", str(tmp_path / name), flag, put(f"{name}.txt", text)]) == 1
         assert said in (tmp_path / f"{name}.log").read_text()
+
+
+def test_people_go_before_their_calls_are_put_together(spark, tmp_path):
+    """Calls of some ancestries are those of their people among all, and no plan lists people one by one."""
+    from xancestry.plans import synth
+
+    rng = np.random.default_rng(3)
+    sizes = {}
+    for n in (40, 400):
+        rows = [(3 * i, i % 5, [float(x) for x in rng.normal(0, 0.1, 6)]) for i in range(n)]
+        spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        _, people, every = synth.genotypes(spark, f"{tmp_path}/{n}")
+        _, some, geno = synth.genotypes(spark, f"{tmp_path}/{n}", ["A1", "A3"])
+        places = [k for k, r in enumerate(people.orderBy("ind_idx").collect()) if r["ancestry"] in ("A1", "A3")]
+        whole = {r["snp_idx"]: r["dosage"] for r in every.collect()}
+        assert {r["snp_idx"]: r["dosage"] for r in geno.collect()} == {i: [d[k] for k in places] for i, d in whole.items()} and some.count() == len(places)
+        sizes[n] = len(geno._jdf.queryExecution().analyzed().toString())
+    assert abs(sizes[400] - sizes[40]) < 50

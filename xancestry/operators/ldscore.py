@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,20 +72,31 @@ class Windows:
         return k < self.first or i >= ck or ck - self.back[k // self.chunk] <= i
 
 
+def _chunking(m: int, beyond: int | None, chunk: int) -> tuple[int, int]:
+    """(chunk, first) of m variants, of which beyond is the first whose window doesn't reach back to the beginning."""
+    first = -(-(m if beyond is None else beyond) // chunk) * chunk
+    return (1, m) if first > m else (chunk, first)
+
+
+_BEYOND = "min(if(left > 0, idx, null))"
+
+
+def _met(size: Column, first: Column) -> tuple[Column, Column]:
+    """(left chunks, right chunk) of the first variant of each chunk."""
+    at = F.col("idx")
+    back = F.ceil((at - F.col("left")) / size) * size
+    low = F.when(at < first, F.lit(0)).otherwise(F.floor(F.greatest(F.lit(0), at - back) / size)).cast("int")
+    k = (at / size).cast("int")
+    return F.explode(F.sequence(low, k)).alias("i"), k.alias("k")
+
+
 def chunk_pairs(lefts: DataFrame, chunk: int = 50) -> tuple[DataFrame, int, int]:
     """(idx, left) of all variants -> ((i int, k int) pairs of chunks, chunk, first): what Windows tells, as rows that are made on the executors.
 
     Two numbers come to the driver: how many variants there are, and the first whose window doesn't reach back to the beginning.
     """
-    m, beyond = lefts.agg(F.count("*"), F.min(F.when(F.col("left") > 0, F.col("idx")))).first()
-    first, c = -(-(m if beyond is None else beyond) // chunk) * chunk, chunk
-    if first > m:
-        first, c = m, 1
-    at = F.col("idx")
-    back = F.ceil((at - F.col("left")) / c) * c
-    low = F.when(at < first, F.lit(0)).otherwise(F.floor(F.greatest(F.lit(0), at - back) / c)).cast("int")
-    k = (at / c).cast("int")
-    return lefts.where(at % c == 0).select(F.explode(F.sequence(low, k)).alias("i"), k.alias("k")), c, first
+    size, first = _chunking(*lefts.agg(F.count("*"), F.expr(_BEYOND)).first(), chunk)
+    return lefts.where(F.col("idx") % size == 0).select(*_met(F.lit(size), F.lit(first))), size, first
 
 
 def smaller_frequency(g: np.ndarray) -> np.ndarray:
@@ -103,36 +114,40 @@ def maf_ok(g: np.ndarray, least: float = 0.0) -> np.ndarray:
 
 #: People whose dosages one row holds, and dosages that are standardised at once.
 TILE, AT_ONCE = 8192, 1 << 22
-TILED = "idx long, tile int, g binary, fill double, m1 double, s1 double, m2 double, s2 double"
+TILED = "pair int, idx long, tile int, g binary, fill double, m1 double, s1 double, m2 double, s2 double"
 
 
-def _tiles(geno: DataFrame, masks: list[np.ndarray], tile: int) -> DataFrame:
-    """Each variant's dosages as bytes (-1 missing) by tile of people, with what they are standardised by: the mean of all given people
-    for missing ones, and by ancestry mean and standard deviation once those are filled in."""
-    people = np.flatnonzero(masks[0] | masks[1])
-    own = [m[people] for m in masks]
+def _tiles(geno: DataFrame, masks: dict[int, tuple[np.ndarray, np.ndarray]], tile: int) -> DataFrame:
+    """Each variant's dosages as bytes (-1 missing) by pair of ancestries and tile of people, with what they are standardised by: the mean of all
+    people of the pair for missing ones, and by ancestry mean and standard deviation once those are filled in."""
 
     def run(batches):
+        people = {p: np.flatnonzero(a | b) for p, (a, b) in masks.items()}
         for batch in batches:
-            lists = batch.column(1)
             n = batch.num_rows
             if not n:
                 continue
-            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).reshape(n, -1)
-            step = max(1, AT_ONCE // max(1, len(people)))
-            for at in range(0, n, step):
-                g = flat[at : at + step][:, people].astype(np.int8)
-                called = g >= 0
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    fill = np.where(called, g, 0).sum(1) / called.sum(1)
-                full = np.where(called, g, fill[:, None])
-                stats = [x for m in own for x in (full[:, m].mean(1), full[:, m].std(1))]
-                idx = batch.column(0).slice(at, step)
-                for t in range(0, len(people), tile):
-                    part = np.ascontiguousarray(g[:, t : t + tile])
-                    yield pa.RecordBatch.from_arrays([idx, pa.array(np.full(len(g), t // tile, np.int32)), pa.array([r.tobytes() for r in part], pa.binary()), *(pa.array(x) for x in (fill, *stats))], ["idx", "tile", "g", "fill", "m1", "s1", "m2", "s2"])
-
-    return geno.select(F.col("idx").cast("long").alias("idx"), F.col("dosage").cast("array<int>").alias("dosage")).mapInArrow(run, TILED)
+            flat = pc.fill_null(batch.column(1).flatten(), -1).to_numpy(zero_copy_only=False).reshape(n, -1)
+            at = batch.column(0).flatten()
+            row = np.repeat(np.arange(n), pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False))
+            pair, idx = (at.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "idx"))
+            for p, who in people.items():
+                own, mine = [m[who] for m in masks[p]], np.flatnonzero(pair == p)
+                step = max(1, AT_ONCE // max(1, len(who)))
+                for k in range(0, len(mine), step):
+                    some = mine[k : k + step]
+                    g = flat[row[some]][:, who].astype(np.int8)
+                    called = g >= 0
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        fill = np.where(called, g, 0).sum(1) / called.sum(1)
+                    full = np.where(called, g, fill[:, None])
+                    stats = [x for m in own for x in (full[:, m].mean(1), full[:, m].std(1))]
+                    for t in range(0, len(who), tile):
+                        part = np.ascontiguousarray(g[:, t : t + tile])
+                        same = [pa.array(np.full(len(some), x, np.int32)) for x in (p, t // tile)]
+                        yield pa.RecordBatch.from_arrays([same[0], pa.array(idx[some]), same[1], pa.array([r.tobytes() for r in part], pa.binary()), *(pa.array(x) for x in (fill, *stats))], ["pair", "idx", "tile", "g", "fill", "m1", "s1", "m2", "s2"])
+
+    return geno.select("at", F.col("dosage").cast("array<int>").alias("dosage")).mapInArrow(run, TILED)
 
 
 class _Chunk:
@@ -168,56 +183,71 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: Data
     neighbour's, unless symmetric. With an exponent each correlation counts times the other variant's variance to half that power; again
     unless symmetric, a variant right of a chunk takes its own variance for that of its left neighbour, and pairs within a chunk beyond the first
     block aren't scaled. Undefined products count as nothing.
+    """
+    if isinstance(lefts, np.ndarray):
+        lefts = geno.sparkSession.createDataFrame(list(enumerate(lefts.tolist())), "idx long, left long")
+    one = F.lit(0).alias("pair")
+    of = geno.select(F.array(F.struct(one, F.col("idx").cast("long").alias("idx"))).alias("at"), "dosage")
+    return scores(of, {0: (anc1, anc2)}, lefts.select(one, "idx", "left"), chunk, per_allele, correct, symmetric, exponent, tile).select("idx", "l2")
+
+
+def scores(geno: DataFrame, people: dict[int, tuple[np.ndarray, np.ndarray]], lefts: DataFrame, chunk: int = 50, per_allele: bool = True, correct: bool = True, symmetric: bool = False, exponent: float = 0.0, tile: int = TILE) -> DataFrame:
+    """(pair, idx, l2): pair_scores() of many pairs of ancestries at once, each with its variants' numbers.
+
+    geno: at (array of structs of pair int and idx long) and dosage of all people; people: by pair both masks; lefts: (pair, idx, left).
 
     A row holds a chunk's dosages of one tile of people, a byte each. Correlations are sums over people, so tiles are multiplied
     apart and their products added.
     """
-    spark = geno.sparkSession
-    if isinstance(lefts, np.ndarray):
-        lefts = spark.createDataFrame(list(enumerate(lefts.tolist())), "idx long, left long")
-    pairs, size, first = chunk_pairs(lefts, chunk)
-    same, n_of = bool((anc1 == anc2).all()), [int(anc1.sum()), int(anc2.sum())]
-    inside = [m[anc1 | anc2] for m in (anc1, anc2)]
-    tiles = -(-len(inside[0]) // tile)
+    chunking = {p: _chunking(m, beyond, chunk) for p, m, beyond in lefts.groupBy("pair").agg(F.count("*"), F.expr(_BEYOND)).collect()}
+    people = {p: m for p, m in people.items() if p in chunking}
+    # Without variants nothing is met; the map is there for its type.
+    by_pair = lambda k: F.element_at(F.create_map(*(F.lit(x) for p, c in (chunking or {0: (chunk, 0)}).items() for x in (p, c[k]))), F.col("pair"))
+    size_of, first_of = by_pair(0), by_pair(1)
+    pairs = lefts.where(F.col("idx") % size_of == 0).select("pair", *_met(size_of, first_of))
+    same = {p: bool((a == b).all()) for p, (a, b) in people.items()}
+    n_of = {p: [int(a.sum()), int(b.sum())] for p, (a, b) in people.items()}
+    inside = {p: [m[a | b] for m in (a, b)] for p, (a, b) in people.items()}
+    tiles = max((-(-len(x[0]) // tile) for x in inside.values()), default=0)
     v = F.array_sort(F.collect_list(F.struct("idx", "g", "fill", "m1", "s1", "m2", "s2")))
-    blocks = _tiles(geno, [anc1, anc2], tile).groupBy(F.floor(F.col("idx") / size).cast("int").alias("chunk"), "tile").agg(v.alias("v"))
-    left = blocks.select(F.col("chunk").alias("i"), "tile", F.col("v").alias("vi"))
-    right = blocks.select(F.col("chunk").alias("k"), "tile", F.col("v").alias("vk"))
-    met = pairs.join(left, "i").join(right, ["k", "tile"])
-    n_anc = 1 if same else 2
-
-    def scored(i, k, a, b, r):
-        """(numbers, contributions) of both chunks, from the correlations of their variants by ancestry."""
+    blocks = _tiles(geno, people, tile).groupBy("pair", F.floor(F.col("idx") / size_of).cast("int").alias("chunk"), "tile").agg(v.alias("v"))
+    left = blocks.select("pair", F.col("chunk").alias("i"), "tile", F.col("v").alias("vi"))
+    right = blocks.select("pair", F.col("chunk").alias("k"), "tile", F.col("v").alias("vk"))
+    met = pairs.join(left, ["pair", "i"]).join(right, ["pair", "k", "tile"])
+
+    def scored(p, i, k, a, b, r):
+        """(pair, numbers, contributions) of both chunks, from the correlations of their variants by ancestry."""
+        size, first = chunking[p]
         both_ways = symmetric or k * size < first
         scale_by = lambda sd, axis: np.expand_dims(sd**exponent, axis) if exponent else 1
 
         def products(factor):
-            if same:
+            if same[p]:
                 r2 = (r[0] * factor(0)) ** 2
-                return r2 - (1 - r2) / (n_of[0] - 2) if correct else r2
+                return r2 - (1 - r2) / (n_of[p][0] - 2) if correct else r2
             return r[0] * factor(0) * r[1] * factor(1)
 
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             x = products(lambda c: scale_by(b.sd[c], 0) if i != k or both_ways else 1)
             scale = np.sqrt((a.variance(0) * a.variance(1))[:, None] / (b.variance(0) * b.variance(1))[None, :]) if per_allele else np.ones_like(x)
-            yield a.idx, np.nansum(x * scale, 1)
+            yield p, a.idx, np.nansum(x * scale, 1)
             if i == k:
                 return
             back = 1 / scale if both_ways or not per_allele else scale
             mirrored = products(lambda c: scale_by(a.sd[c], 1)) if exponent and both_ways else x
-            yield b.idx, np.nansum(mirrored * back, 0)
+            yield p, b.idx, np.nansum(mirrored * back, 0)
 
     def rows(found):
-        return [pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(l2, pa.float64())], ["idx", "l2"]) for idx, l2 in found]
+        return [pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), p, np.int32)), pa.array(idx, pa.int64()), pa.array(l2, pa.float64())], ["pair", "idx", "l2"]) for p, idx, l2 in found]
 
     def correlated(batch, row):
-        """(i, k, both chunks, this tile's part of the correlations by ancestry)"""
+        """(pair, i, k, both chunks, this tile's part of the correlations by ancestry)"""
         name = {n: c for c, n in enumerate(batch.schema.names)}
-        i, k, t = (batch.column(name[c])[row].as_py() for c in ("i", "k", "tile"))
-        own = [m[t * tile : (t + 1) * tile] for m in inside]
+        p, i, k, t = (batch.column(name[c])[row].as_py() for c in ("pair", "i", "k", "tile"))
+        own = [m[t * tile : (t + 1) * tile] for m in inside[p]]
         a, b = (_Chunk(batch.column(name[c])[row].values, own) for c in ("vi", "vk"))
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-            return i, k, a, b, [a.z[c] @ b.z[c].T / n_of[c] for c in range(n_anc)]
+            return p, i, k, a, b, [a.z[c] @ b.z[c].T / n_of[p][c] for c in range(1 if same[p] else 2)]
 
     if tiles <= 1:
         def whole(batches):
@@ -225,28 +255,29 @@ def pair_scores(geno: DataFrame, anc1: np.ndarray, anc2: np.ndarray, lefts: Data
                 for row in range(batch.num_rows):
                     yield from rows(scored(*correlated(batch, row)))
 
-        out = met.mapInArrow(whole, "idx long, l2 double")
+        out = met.mapInArrow(whole, "pair int, idx long, l2 double")
     else:
         # Tiles' parts are sums over people: a pair's are added up, a tile of them at a time, and the first one tells the variants.
         def parts(batches):
             for batch in batches:
                 for row in range(batch.num_rows):
-                    i, k, a, b, r = correlated(batch, row)
+                    p, i, k, a, b, r = correlated(batch, row)
                     t = batch.column(batch.schema.names.index("tile"))[row].as_py()
                     about = pickle.dumps([(x.idx, x.mean, x.sd) for x in (a, b)]) if t == 0 else None
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([k], pa.int32()), pa.array([about], pa.binary()), pa.array([np.stack(r).tobytes()], pa.binary())], ["i", "k", "about", "r"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (p, i, k)), pa.array([about], pa.binary()), pa.array([np.stack(r).tobytes()], pa.binary())], ["pair", "i", "k", "about", "r"])
 
         def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, i, k = (x.as_py() for x in key)
             about, total = None, None
             for batch in batches:
                 for row in range(batch.num_rows):
-                    told = batch.column(2)[row].as_py()
+                    told = batch.column(3)[row].as_py()
                     about = about or (told and pickle.loads(told))
-                    r = np.frombuffer(batch.column(3)[row].as_py())
+                    r = np.frombuffer(batch.column(4)[row].as_py())
                     total = r if total is None else total + r
             a, b = (_Told(*x) for x in about)
-            yield from rows(scored(key[0].as_py(), key[1].as_py(), a, b, list(total.reshape(n_anc, len(a.idx), len(b.idx)))))
+            yield from rows(scored(p, i, k, a, b, list(total.reshape(-1, len(a.idx), len(b.idx)))))
 
-        out = met.mapInArrow(parts, "i int, k int, about binary, r binary").groupBy("i", "k").applyInArrow(added, "idx long, l2 double")
+        out = met.mapInArrow(parts, "pair int, i int, k int, about binary, r binary").groupBy("pair", "i", "k").applyInArrow(added, "pair int, idx long, l2 double")
     # Sums in decimals don't hang on the order in which tasks end.
-    return out.groupBy("idx").agg(F.sum(F.col("l2").cast("decimal(38,12)")).cast("double").alias("l2"))
+    return out.groupBy("pair", "idx").agg(F.sum(F.col("l2").cast("decimal(38,12)")).cast("double").alias("l2"))
