@@ -218,3 +218,27 @@ def test_people_go_before_their_calls_are_put_together(spark, tmp_path):
         assert {r["snp_idx"]: r["dosage"] for r in geno.collect()} == {i: [d[k] for k in places] for i, d in whole.items()} and some.count() == len(places)
         sizes[n] = len(geno._jdf.queryExecution().analyzed().toString())
     assert abs(sizes[400] - sizes[40]) < 50
+
+
+def test_scores_of_many_pairs_at_once(spark):
+    """Each pair of ancestries as by itself, though their variants, numbers and chunks differ; the plan doesn't grow with the pairs."""
+    rng = np.random.default_rng(6)
+    g = rng.integers(0, 3, (23, 45)).astype(float)
+    g[rng.random(g.shape) < 0.04] = np.nan
+    of = np.arange(45) % 3
+    dosages = [[None if np.isnan(x) else int(x) for x in r] for r in g]
+    have = {p: [i for i in range(23) if i % (p + 2) or p > 3] for p in range(6)}
+    people = {p: (of == a, of == b) for p, (a, b) in enumerate([(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)])}
+    lefts = {p: ldscore.block_lefts(np.arange(len(x)), 3 + 9 * p) for p, x in have.items()}
+    assert len({ldscore._chunking(len(x), next((i for i, k in enumerate(x) if k), None), 4) for x in lefts.values()}) > 2
+    geno = spark.createDataFrame([([(p, x.index(i)) for p, x in have.items() if i in x], d) for i, d in enumerate(dosages)], "at array<struct<pair:int,idx:long>>, dosage array<int>")
+    near = spark.createDataFrame([(p, i, int(k)) for p, x in lefts.items() for i, k in enumerate(x)], "pair int, idx long, left long")
+    nodes = lambda d: d._jdf.queryExecution().analyzed().toString().count("MapInArrow")
+    for tile in (8192, 7):
+        got = ldscore.scores(geno, people, near, 4, tile=tile)
+        assert nodes(got) == nodes(ldscore.scores(geno, people, near.where("pair = 1"), 4, tile=tile))
+        got = {(r["pair"], r["idx"]): r["l2"] for r in got.collect()}
+        for p, x in have.items():
+            one = spark.createDataFrame([(k, dosages[i]) for k, i in enumerate(x)], "idx long, dosage array<int>")
+            want = {(p, r["idx"]): r["l2"] for r in ldscore.pair_scores(one, *people[p], lefts[p], 4, tile=tile).collect()}
+            assert want == {k: v for k, v in got.items() if k[0] == p} and len(want) == len(x)
