@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, Jaccard similarity 0.8), the one with the smallest id.
 
-    SimHash of the 4 bits that its own query asks for finds 4 of 48 such pairs (README), and of more bits it has no index
-    that prunes; so candidates come from MinHash bands, and every one is verified.
+    Candidates come from SimHash, of the 4 bits that its own query asks for, and then from MinHash bands, as those bits find 4 of 48
+    such pairs (README) and of more bits SimHash has no index that prunes. Every one is verified.
     """
     return minhash.one_of_each(docs, threshold=0.8)
 

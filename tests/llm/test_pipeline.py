@@ -112,3 +112,40 @@ def test_run(spark, docs, tmp_path):
     assert 0 < len(got) and max(ids.values()) <= 2 and not {100, 101, 102, 104} & set(ids), "no document without a letter is left"
     docs.where(F.lit(False)).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_near_duplicates_by_simhash(spark):
+    """Candidates of SimHash are those whose fingerprints hang together within its radius, and they are verified before any band is compared."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from xancestry.llm import common, minhash
+
+    body = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(body[:i] + ["new"] + body[i:]) for i in range(0, 3000, 300)] + [" ".join(f"v{k}" for k in range(n)) for n in (3, 50, 52)] + [""]
+    sets = list(map(minhash.shingles, texts))
+    sims = list(map(minhash.simhash_of, sets))
+    plain = [int(sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s.tolist()) > len(s))) for s in sets]
+    assert [x % (1 << 64) for x in sims] == plain
+    parent = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if (plain[i] ^ plain[j]).bit_count() <= minhash.RADIUS:
+            parent = [parent[i] if p == parent[j] else p for p in parent]
+    assert len(set(parent)) < len(texts) - 5
+    pairs, least = minhash.close_fingerprints(spark.createDataFrame(list(enumerate(sims)), "node long, sim long"))
+    found = {r["node"]: r["component"] for r in common.components(pairs).collect()}
+    assert all((found.get(i, i) == found.get(j, j)) == (parent[i] == parent[j]) for i, j in combinations(range(len(texts)), 2))
+    common.deleted(pairs, least)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, before = [], minhash.linked
+    minhash.linked = lambda *a: asked.append(a[3][1].count()) or before(*a)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        out = minhash.one_of_each(docs)
+        got = {r["doc_id"] for r in out.collect()}
+        released(out)
+    finally:
+        minhash.linked = before
+    assert asked[0] > 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+    assert got == {min(j for j in range(len(texts)) if minhash.similarity(sets[i], sets[j]) >= 0.8) for i in range(len(texts))} and np.uint64(sims[-1]) == 0

@@ -1,6 +1,8 @@
-"""Near-copies by the Jaccard similarity of word shingles, with MinHash bands for candidates.
+"""Near-copies by the Jaccard similarity of word shingles, with SimHash and then MinHash bands for candidates.
 
-A text is the set of its shingles of five words. Each of BANDS bands hashes the minima of ROWS permutations of that set, so two
+A text is the set of its shingles of five words. SimHash fingerprints of these sets that differ in RADIUS bits at most are found by vantage-point
+trees and verified first, which joins the closest copies; pairs near the threshold are further apart than any radius that the
+trees prune, so MinHash bands find the rest among what is still apart. Each of BANDS bands hashes the minima of ROWS permutations of that set, so two
 texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8. Candidates whose
 sizes and bits (one of each permutation's minimum) may reach the threshold are verified on the whole sets, and only pairs that reach it are linked.
 """
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, deleted, exact, fresh, holding, linked
+from . import simhash
+from .common import cut, deleted, exact, fresh, holding, linked, rows_a_batch
 from .simhash import FOLD
 
 SHINGLE_WORDS, SEED, BANDS, ROWS = 5, 42, 24, 5
+#: Bits in which SimHash fingerprints of candidates differ at most.
+RADIUS = 4
 #: Standard deviations by which two sets' bits may fall short of what the threshold gives before a pair is left unverified.
 SLACK = 6
 #: Rows of an Arrow batch that are taken out of it at once, so that a worker holds few texts and sets as Python objects.
@@ -65,6 +70,25 @@ def bands(own: np.ndarray) -> tuple[np.ndarray, bytes]:
     return out.view(np.int64), np.packbits((least * MIX >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles as a signed long; 0 for the empty set."""
+    fp = simhash.majority(own[i : i + BLOCK] for i in range(0, len(own), BLOCK))
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def close_fingerprints(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, sim) -> (pairs u > v whose fingerprints hang together within RADIUS bits, enough to connect all that do; a table to delete).
+
+    A fingerprint is stood for by its smallest node, with which its other nodes make pairs.
+    """
+    least = cut(nodes.groupBy("sim").agg(F.min("node").alias("least")))
+    own = nodes.join(least, "sim").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(least.select(F.col("sim").alias("fp")), least.count(), RADIUS)
+    of = lambda c, name: least.select(F.col("sim").alias(c), F.col("least").alias(name))
+    met = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    return cut(own.union(met).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), least
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sorted sets."""
     both = np.concatenate((a, b))
@@ -107,8 +131,13 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold over 0, up to 1")
+    with rows_a_batch(docs.sparkSession, ROWS_AT_ONCE):
+        return _one_of_each(docs, threshold, id_col, text_col)
+
+
+def _one_of_each(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    about = "fp long, n long, keys array<long>, lo long, hi long"
+    about = "fp long, sim long, n long, keys array<long>, lo long, hi long"
 
     def told(batches):
         from xxhash import xxh64_intdigest as h
@@ -118,8 +147,8 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             fp = np.array([h(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             keys, bits = zip(*map(bands, sets))
             halves = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in bits), "<i8").reshape(-1, 2)
-            cols = [pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "fp", "n", "keys", "lo", "hi"])
+            cols = [pa.array(fp), pa.array([simhash_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "fp", "sim", "n", "keys", "lo", "hi"])
 
     def read(batches):
         from xxhash import xxh64_intdigest as h
@@ -134,15 +163,17 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     # Ids that don't tell a row: those of several rows, and none.
     many = cut(each.groupBy("id").count().where("count > 1 or id is null").select("id"))
     # Equal sets stand for one node, so copies add no work to the search.
-    nodes = each.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "lo", "hi", "keys")))
+    nodes = each.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("sim", "n", "lo", "hi", "keys")))
+    close, least = close_fingerprints(nodes.select("node", "sim"))
     posted = nodes.select("node", "id", F.struct("n", "lo", "hi").alias("x"), F.explode("keys").alias("key"))
     posted = cut(posted.join(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"])
-    asked = posted.select("id").distinct()
+    wanted = cut(posted.select("node", "id").union(nodes.join(close.select(F.explode(F.array("u", "v")).alias("node")), "node").select("node", "id")).distinct())
+    asked = wanted.select("id").distinct()
     asked = asked.join(many.withColumn("many", F.lit(True)), same(asked, many), "left").select(asked["id"], F.coalesce("many", F.lit(False)).alias("many"))
     sets = source.join(asked, same(source, asked)).select("text", F.lit(None).cast("boolean").alias("none"), "many").select("none", "text", "many").mapInArrow(read, "node long, own binary, many boolean")
     repeated = sets.where("many").groupBy("node").agg(F.any_value("own").alias("own"))
-    sets = cut(sets.where("not many").select("node", "own").union(repeated.join(posted.select("node").distinct(), "node", "left_semi")))
+    sets = cut(sets.where("not many").select("node", "own").union(repeated.join(wanted, "node", "left_semi")))
 
     def alike(batches):
         for batch in parts(batches):
@@ -154,14 +185,15 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
         return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
 
-    _, found, used = linked(posted.select("node", "key", "x"), verify, may_reach(threshold))
+    alike_by_simhash = cut(verify(close))
+    _, found, used = linked(posted.select("node", "key", "x"), verify, may_reach(threshold), (close, alike_by_simhash))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     mine = each.groupBy("fp").agg(first)
     mine = mine.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
     kept = cut(mine.select(F.col("first.id").alias("id"), F.col("first.fp").alias("fp")))
     # Ids of which no row is asked for by its id alone: those that go, and those that don't tell a row.
     gone = cut(each.select("id").where("id is not null").distinct().join(kept, "id", "left_anti").union(many.where("id is not null")))
-    deleted(posted, sets, *used, each)
+    deleted(posted, sets, *used, each, wanted, least, close, alike_by_simhash)
     at = fresh(docs, "fp")
 
     def marked(batches):

@@ -9,6 +9,7 @@ what remains is compared in full. So every pair within the radius meets, and no
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -39,11 +40,16 @@ def fingerprint(text: str | None) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(SHINGLE_WORDS, len(words))
     spans = list(zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(spans), BLOCK):
-        hashes = np.array([h(joined[a:b], SEED) for a, b in spans[i : i + BLOCK]], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(spans), bitorder="little").view("<u8")[0])
+    return majority(np.array([h(joined[a:b], SEED) for a, b in spans[i : i + BLOCK]], "<u8") for i in range(0, len(spans), BLOCK))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Of hashes in blocks, the bits that over half of them have."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
