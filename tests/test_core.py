@@ -379,3 +379,21 @@ def test_entry_registers_sql_for_known_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shared_source_is_dealt_by_its_rows(spark, monkeypatch):
+    """Partitions of the joined lines follow their number, whatever the session shuffles into, and the setting is as before."""
+    from xancestry.plans import synth
+
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = sorted(map(tuple, synth.sumstats(spark, sf).collect()))
+    synth._KEPT.popitem()[1].unpersist()
+    monkeypatch.setattr(synth, "ROWS_A_TASK", 500)
+    try:
+        got = synth.sumstats(spark, sf)
+        rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+        assert "l_orderkey#" in got._jdf.queryExecution().toString() and f", {-(-rows // 500)}" in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == want and spark.conf.get("spark.sql.shuffle.partitions") == before
+    finally:
+        synth._KEPT.popitem()[1].unpersist()
