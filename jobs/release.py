@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import config, log, log_to_console, written
+from xancestry.functions.expressions import z_score
 from xancestry.operators import quality, regression
 from xancestry.plans import meta, synth
 from xancestry.schema import CHROMOSOMES, FREQUENCIES
@@ -29,13 +30,13 @@ def sources(spark: SparkSession, tables: str, populations: int) -> tuple[dict[tu
 
 
 def figures(r: meta.Result) -> DataFrame:
-    """Mean chi-squared of each population over its harmonised variants and over its results."""
-    chi = lambda d, z, k: d.agg(F.count("*").alias(f"variants_{k}"), meta.mean_chi_squared(z).alias(f"mean_chi_sq_{k}"))
-    rows = []
-    for i, (pop, t) in enumerate(r.tables.items()):
-        before = chi(r.harmonised, F.col(f"p{i}.BETA") / F.col(f"p{i}.SE"), "in")
-        rows.append(before.crossJoin(chi(t, F.col("Z"), "out")).select(F.lit("_".join(pop)).alias("population"), "variants_in", "mean_chi_sq_in", "variants_out", "mean_chi_sq_out"))
-    return reduce(DataFrame.union, rows)
+    """Mean chi-squared of each population over its harmonised variants and over its results; one pass over each."""
+    chi = lambda z, k: [meta.mean_chi_squared(x).alias(f"{k}{i}") for i, x in enumerate(z)]
+    pops = range(len(r.tables))
+    before = r.harmonised.agg(F.count("*").alias("variants_in"), *chi([F.col(f"p{i}.BETA") / F.col(f"p{i}.SE") for i in pops], "in_"))
+    after = r.work.where("om_ok and si_ok").agg(F.count("*").alias("variants_out"), *chi([z_score(F.col("new_beta")[i], F.col("new_se")[i]) for i in pops], "out_"))
+    each = [F.struct(F.lit("_".join(pop)).alias("population"), "variants_in", F.col(f"in_{i}").alias("mean_chi_sq_in"), "variants_out", F.col(f"out_{i}").alias("mean_chi_sq_out")) for i, pop in enumerate(r.tables)]
+    return before.crossJoin(after).select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def run(spark: SparkSession, sumstats: dict[tuple[str, str], object], ld_scores: list, out: str, given: dict | None = None, column_maps: dict | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def run(spark: SparkSession, sumstats: dict[tuple[str, str], object], ld_scores:
         for row in written(figures(r).coalesce(1), f"{out}/figures/{of}", FIGURES).orderBy("population").collect():
             log.info("%s: mean chi-squared %s over %d variants, %s over %d results", *(row[k] for k in ("population", "mean_chi_sq_in", "variants_in", "mean_chi_sq_out", "variants_out")))
     finally:
-        r.harmonised.unpersist()
+        r.release()
     return spark.read.schema(RESULT).parquet(f"{out}/results")
 
 

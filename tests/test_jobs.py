@@ -6,6 +6,7 @@ import os
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,27 @@ def test_configurations(tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"nonsense": 1}))
     with pytest.raises(ValueError, match="nonsense"):
         config(str(tmp_path / "x.json"), release.DEFAULTS)
+
+
+def test_a_release_runs_the_estimator_once(spark):
+    """The estimator's rows are kept, so tables and figures read them; figures are those of the tables, and nothing stays kept."""
+    from xancestry.plans import meta
+
+    pops, ld = release.sources(spark, "/root/testdata/sf0.001", 2)
+    names = {x: x for x in ("SNP", "CHR", "BP", "A1", "A2", "FREQ", "BETA", "SE", "P", "N")}
+    c = config(f"{os.path.dirname(release.__file__)}/release.json", release.DEFAULTS)
+    r = meta.run(spark, pops, [ld], column_maps=dict.fromkeys(pops, names), ld_option=np.array(c["ld"]), const_option=np.array(c["intercept"]), se2_option=np.array(c["se2"]))
+    assert all(d.storageLevel.useMemory for d in r.held)
+    for t in r.tables.values():
+        # What stands behind kept rows is printed after them.
+        above, *behind = t._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")
+        assert behind and "MapInArrow" not in above and "Join" not in above
+    got = {x["population"]: x for x in release.figures(r).collect()}
+    for i, (pop, t) in enumerate(r.tables.items()):
+        z = [x["Z"] for x in t.collect()]
+        own = [(x["b"] / x["s"]) ** 2 for x in r.harmonised.select(F.col(f"p{i}.BETA").alias("b"), F.col(f"p{i}.SE").alias("s")).collect()]
+        f = got["_".join(pop)]
+        assert (f["variants_in"], f["variants_out"]) == (len(own), len(z)) and len(z) > 10
+        assert f["mean_chi_sq_out"] == pytest.approx(sum(x * x for x in z) / len(z)) and f["mean_chi_sq_in"] == pytest.approx(sum(own) / len(own))
+    r.release()
+    assert not any(d.storageLevel.useMemory for d in r.held)
