@@ -149,3 +149,42 @@ def test_near_duplicates_by_simhash(spark):
         minhash.linked = before
     assert asked[0] > 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
     assert got == {min(j for j in range(len(texts)) if minhash.similarity(sets[i], sets[j]) >= 0.8) for i in range(len(texts))} and np.uint64(sims[-1]) == 0
+
+
+def test_crowd_of_near_copies(spark, monkeypatch):
+    """Copies that share bands but are edited too much to be alike aren't compared pair by pair, and those of them that are alike are found."""
+    import random
+
+    from xancestry.llm import common, minhash
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(words, places):
+        return [f"e{rng.random()}" if k in places else w for k, w in enumerate(words)]
+
+    heavy = [edited(base, rng.sample(range(4, 146, 7), 5)) for _ in range(300)]
+    twins = [edited(w, [rng.randrange(150)]) for w in heavy[:40]]
+    light = [edited(base, rng.sample(range(150), k % 3)) for k in range(60)]
+    texts = [" ".join(w) for w in heavy + twins + light]
+    sets = list(map(minhash.shingles, texts))
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and minhash.similarity(sets[i], sets[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    made, before = [], common.cut
+
+    def counted(df):
+        out = before(df)
+        if df.columns == ["u", "v"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    monkeypatch.setattr(common, "CROWD", 8, raising=False)
+    out = minhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = sorted(r["doc_id"] for r in out.collect())
+    released(out)
+    assert got == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values()) and 200 < len(got) < 350
+    assert max(made) < 20 * len(texts), made

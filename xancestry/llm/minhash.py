@@ -121,6 +121,38 @@ def may_reach(threshold: float):
     return fits
 
 
+def rarest(sets: DataFrame, threshold: float):
+    """For linked(): the keys of crowds by which no pair of their nodes that reaches the threshold is lost, and what has to hold of two of a key.
+
+    sets: (node, own). Shingles are put in order by the number of these nodes that hold them, the rarest first. Two sets as similar as that share one
+    within each one's first n - threshold * n + 1; and if the first that they share is the set's number at (from 0), at most n - at are shared, so
+    the other set has `most` shingles at most. A copy whose own edits fill these places meets none, however many copies there are.
+    """
+
+    def spelled(batches):
+        for batch in parts(batches):
+            own = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            cols = [np.repeat(batch.column(0).to_numpy(), list(map(len, own))), np.concatenate(own) if own else np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["node", "key"])
+
+    def keys(now: DataFrame) -> DataFrame:
+        nodes = now.groupBy("node").agg(F.any_value("c").alias("c"), F.any_value("x").alias("x"))
+        every = cut(sets.join(nodes.select("node"), "node", "left_semi").select("node", "own").mapInArrow(spelled, "node long, key long"))
+        often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # Those of one node only come first and meet none: the rest begin after them.
+        own = every.join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own")).join(nodes, "node")
+        size = F.col("x.n")
+        first, reach = size - F.size("own"), size - F.ceil(size * threshold - 1e-6) + 1
+        own = own.withColumn("first", first).where(reach > first).select("node", "c", "x", "first", F.posexplode(F.slice("own", 1, (reach - first).cast("int"))).alias("at", "key"))
+        most = F.floor((size - F.col("first") - F.col("at")) * ((1 + threshold) / threshold) - size + 1e-6)
+        own = cut(own.select("node", "c", F.col("key.key").alias("key"), F.struct("x.*", most.alias("most")).alias("x")).where(F.col("x.most") >= F.ceil(size * threshold - 1e-6)))
+        least = own.groupBy("key").agg(F.min("x.n").alias("least"))
+        return holding(own.join(least, "key").where("x.most >= least").drop("least"), every, own)
+
+    fits = may_reach(threshold)
+    return keys, lambda x, y: fits(x, y) & (x["n"] <= y["most"]) & (y["n"] <= x["most"])
+
+
 def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-copies: the smallest id, and of rows that share it any one.
 
@@ -186,7 +218,7 @@ def _one_of_each(docs: DataFrame, threshold: float, id_col: str, text_col: str)
         return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
 
     alike_by_simhash = cut(verify(close))
-    _, found, used = linked(posted.select("node", "key", "x"), verify, may_reach(threshold), (close, alike_by_simhash))
+    _, found, used = linked(posted.select("node", "key", "x"), verify, may_reach(threshold), (close, alike_by_simhash), rarest(sets, threshold))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     mine = each.groupBy("fp").agg(first)
     mine = mine.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
