@@ -188,3 +188,25 @@ def test_crowd_of_near_copies(spark, monkeypatch):
     released(out)
     assert got == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values()) and 200 < len(got) < 350
     assert max(made) < 20 * len(texts), made
+
+
+def test_pairs_in_turns(spark, monkeypatch):
+    """Of a crowd's pairs those that hang together over earlier ones aren't verified, and components are those of all pairs."""
+    from xancestry.llm import common
+
+    monkeypatch.setattr(common, "MANY", 1000, raising=False)
+    holds = F.pmod(F.xxhash64("u", "v"), F.lit(20)) == 0
+    posted = spark.range(300).select(F.col("id").alias("node"), F.lit(7).cast("long").alias("key"))
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where(holds)
+
+    _, met, used = common.linked(posted, verify)
+    got = {r["node"]: r["component"] for r in met.collect()}
+    common.deleted(*used)
+    every = posted.select(F.col("node").alias("u")).join(posted.select(F.col("node").alias("v")), F.col("u") > F.col("v")).where(holds)
+    want = {r["node"]: r["component"] for r in common.components(every).collect()}
+    assert got == want and len(got) > 290
+    assert sum(asked) < 20_000, asked
