@@ -397,3 +397,49 @@ def test_shared_source_is_dealt_by_its_rows(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want and spark.conf.get("spark.sql.shuffle.partitions") == before
     finally:
         synth._KEPT.popitem()[1].unpersist()
+
+
+@pytest.fixture
+def bare(spark):
+    """A session that leaves the number of shuffle partitions to Spark's default, and whose shared source isn't made yet."""
+    from xancestry.plans import synth
+
+    drop = lambda: [synth._KEPT.pop(k).unpersist() for k in list(synth._KEPT)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    drop()
+    spark.conf.unset("spark.sql.shuffle.partitions")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    drop()
+
+
+def test_settings_left_to_their_defaults_stay_so(bare):
+    from xancestry.plans import planning
+
+    for key, within in ((planning.PARTITIONS, planning.shuffled_in(bare, 7)), (planning.CONSTRAINTS, planning.without_constraints(bare))):
+        assert bare.conf.get(key, None) is None
+        with pytest.raises(ZeroDivisionError), within:
+            assert bare.conf.get(key) in ("7", "false")
+            1 / 0
+        assert bare.conf.get(key, None) is None
+    bare.conf.set(planning.PARTITIONS, "5")
+    with planning.shuffled_in(bare, 7):
+        pass
+    assert bare.conf.get(planning.PARTITIONS) == "5"
+
+
+@pytest.mark.parametrize("name", ["allele_flip"])
+def test_first_query_of_a_bare_session(bare, name):
+    """It gives what its SQL gives, to the last row, and leaves the setting alone."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("lineitem", "orders", "customer", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = e.queries()[name](bare, sf)
+    assert bare.conf.get("spark.sql.shuffle.partitions", None) is None
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
