@@ -206,6 +206,21 @@ def test_estimator_by_definition(n):
             assert np.isclose(got[j, p], w @ c @ beta[j] / (w @ c @ w)) and np.isclose(se[j, p], (w @ c @ w) ** -0.5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_estimator_rounds_as_its_sql(n):
+    """To the last bit: an effect that ends in a half of the last digit shown is rounded to the same side."""
+    import duckdb
+
+    from xancestry.queries import _eliminated
+
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=(2, 300, n, n))
+    om, si, beta = a @ a.transpose(0, 2, 1), b @ b.transpose(0, 2, 1) + np.eye(n), rng.normal(size=(300, n))
+    x = pd.DataFrame({"SNP": range(300)} | {f"{k}{i}{j}": v[:, i, j] for k, v in (("o", om), ("g", si)) for i in range(n) for j in range(n)} | {f"b{i}": beta[:, i] for i in range(n)})  # noqa: F841
+    want = duckdb.connect().execute(f"WITH {_eliminated(n)} SELECT t / u, 1 / sqrt(u) FROM est ORDER BY SNP, p").fetchall()
+    assert list(zip(*(v.ravel().tolist() for v in gls.estimate(beta, om, si)))) == want
+
+
 def test_worked_variant():
     """LD scores 2, 1, 1 and effects 3, 2 with half on both intercepts and SE^2: 22/7 and the root of 6/7."""
     om, si = np.array([[[2.0, 1], [1, 1]]]), np.array([[[1.0, 0], [0, 1]]])
@@ -443,3 +458,11 @@ def test_first_query_of_a_bare_session(bare, name):
     assert bare.conf.get("spark.sql.shuffle.partitions", None) is None
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_sources_of_a_release_in_a_bare_session(bare):
+    from jobs import release
+
+    pops, ld = release.sources(bare, "/root/testdata/sf0.001", 2)
+    assert bare.conf.get("spark.sql.shuffle.partitions", None) is None
+    assert all(d.count() for d in (*pops.values(), ld))
