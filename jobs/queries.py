@@ -38,7 +38,7 @@ def job2_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, c = _folder(spark, "job2"), config(f"{HERE}/release.json", release.DEFAULTS)
     for _ in range(2):
         out = release.run_tables(spark, sf_dir, f"{at}/out", c)
-    return out.select("release", "population", "CHR", "SNP", "BP", "A1", "A2", *core._r("FREQ", "SE", "N_EFF"), *((F.round(x, 6) + F.lit(0.0)).alias(x) for x in ("BETA", "Z")), *core._p_columns(F.col("P")))
+    return out.select("release", "population", "CHR", "SNP", "BP", "A1", "A2", *core._r("FREQ", "SE", "N_EFF"), *core._r_scaled("BETA", "Z"), *core._p_columns(F.col("P")))
 
 
 JOB1_SQL = rf"""

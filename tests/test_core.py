@@ -221,6 +221,20 @@ def test_estimator_rounds_as_its_sql(n):
     assert list(zip(*(v.ravel().tolist() for v in gls.estimate(beta, om, si)))) == want
 
 
+def test_effects_are_rounded_as_by_sql(spark):
+    import math
+
+    import duckdb
+
+    from xancestry.queries import _r_scaled
+
+    near = [y for x in (0.2509375, 0.5040625, -0.0021875, -0.0634375, -0.1246875, 5e-7) for y in (np.nextafter(x, -9), x, np.nextafter(x, 9))]
+    x = [float(y) for y in [*near, 0.0, -0.0, -1e-9, 1.0, 123456789.1234565, 1e17, math.inf]] + [None]
+    got = [r[0] for r in spark.createDataFrame([(y,) for y in x], "x double").select(*_r_scaled("x")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0", [y]).fetchone()[0] for y in x]
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
 def test_worked_variant():
     """LD scores 2, 1, 1 and effects 3, 2 with half on both intercepts and SE^2: 22/7 and the root of 6/7."""
     om, si = np.array([[[2.0, 1], [1, 1]]]), np.array([[[1.0, 0], [0, 1]]])
@@ -443,7 +457,7 @@ def test_settings_left_to_their_defaults_stay_so(bare):
     assert bare.conf.get(planning.PARTITIONS) == "5"
 
 
-@pytest.mark.parametrize("name", ["allele_flip", "ldreg_int_zero", "ldreg_se2_zero"])
+@pytest.mark.parametrize("name", ["allele_flip", "ldreg_int_zero", "ldreg_se2_zero", "meta_two_populations"])
 def test_first_query_of_a_bare_session(bare, name):
     """It gives what its SQL gives, to the last row, and leaves the setting alone."""
     import duckdb
