@@ -457,7 +457,7 @@ def test_settings_left_to_their_defaults_stay_so(bare):
     assert bare.conf.get(planning.PARTITIONS) == "5"
 
 
-@pytest.mark.parametrize("name", ["allele_flip", "ldreg_int_zero", "ldreg_se2_zero", "meta_two_populations"])
+@pytest.mark.parametrize("name", ["allele_flip", "ldreg_int_zero", "ldreg_se2_zero", "meta_two_populations", "std_units"])
 def test_first_query_of_a_bare_session(bare, name):
     """It gives what its SQL gives, to the last row, and leaves the setting alone."""
     import duckdb
