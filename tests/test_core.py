@@ -221,6 +221,22 @@ def test_estimator_rounds_as_its_sql(n):
     assert list(zip(*(v.ravel().tolist() for v in gls.estimate(beta, om, si)))) == want
 
 
+def test_estimator_of_two_rounds_as_its_sql():
+    import duckdb
+
+    from xancestry.queries import _gls_sql
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 300, 2, 2))
+    om, si, beta = a @ a.transpose(0, 2, 1), b @ b.transpose(0, 2, 1) + np.eye(2), rng.normal(size=(300, 2))
+    x = pd.DataFrame({"SNP": range(300)} | {f"{k}{i}{j}": v[:, i, j] for k, v in (("o", om), ("g", si)) for i in (0, 1) for j in (0, 1)} | {f"b{i}": beta[:, i] for i in (0, 1)})  # noqa: F841
+    sql = ", ".join(_gls_sql(p) for p in (0, 1)).replace("round(", "(").replace(", 6)", ")")
+    want = np.array(duckdb.connect().execute(f"SELECT {sql} FROM x ORDER BY SNP").fetchall())
+    got, se = gls.estimate_two(beta, om, si)
+    assert (np.stack([got[:, 0], se[:, 0], got[:, 1], se[:, 1]], 1) == want).all()
+    assert all(np.allclose(u, v) for u, v in zip((got, se), gls.estimate(beta, om, si)))
+
+
 def test_effects_are_rounded_as_by_sql(spark):
     import math
 
